@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomlog import schema as S
 from loomlog.functions.scalars import safe_pct, spark_version
 from loomlog.sources.events import JobLog
+from loomlog.spread import salted_join
 
 APP = ["app_key"]
 TICK_BUCKET_MS = 2**16
@@ -107,7 +108,7 @@ def executor_dim(log: JobLog) -> DataFrame:
     )
     closed = F.col("a").isNull() | (F.col("r.seq") > F.col("a.seq"))
     ends = app_events(log).select("app_key", F.col("end_ms").alias("app_end_ms"))
-    return spans.join(ends, "app_key", "left").select(
+    return salted_join(spans, ends, APP, ["executor_id"]).select(
         "app_key",
         "executor_id",
         "first_seq",

@@ -15,6 +15,7 @@ def local_session(cores: str = "8", app_name: str = "loomlog", **conf: str) -> S
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LOOMLOG_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")

@@ -48,8 +48,9 @@ def bounded_lists(
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}"))
     small = counts.filter(F.col(f"n_{name}") <= limit).select(*keys)
     lists = (
-        rows.withColumn("_item", item)
-        .join(small, list(keys), "left_semi")
+        salted_join(
+            rows.select(*keys, item.alias("_item")), small, keys, ["_item"], how="left_semi"
+        )
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list("_item")).alias(name))
     )

@@ -373,7 +373,8 @@ select p.app_key, p.seq, p.execution_id, i as node_id,
     when i <= 4 then 'ColumnarToRow' when i <= 4 + n_projects then 'Project'
     when i = 5 + n_projects then 'Scan parquet' when i = 6 + n_projects then 'SubqueryBroadcast'
     else 'Scan csv' end as node_name,
-  case when i = 5 + n_projects then scan_text when i = 7 + n_projects then '[hidden]' else '' end as simple_string,
+  case when i = 5 + n_projects then scan_text when i = 7 + n_projects then '[hidden]'
+    when i between 5 and 4 + n_projects then 'p' else '' end as simple_string,
   case when i = 1 then 1 when i = 3 then 2 else 0 end as n_metrics, n_projects, root
 from v_plan p, lateral (select unnest(range(0, n_projects + 6 + case when has_subquery then 2 else 0 end)) as i) g
 where p.execution_id % 97 <> 5""",

@@ -111,7 +111,7 @@ def top_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SELECTED = """
-with f as (select *, is_write or n_nodes > 100 as sure from o_execution),
+select * from (with f as (select *, is_write or n_nodes > 100 as sure from o_execution),
 s as (select app_key, count(*) as n_sure from f where sure group by 1),
 q as (select *, row_number() over (partition by app_key, root order by n_nodes desc, seq) as q from f where not sure),
 r as (select *, row_number() over (partition by app_key order by n_nodes desc, seq) as r from q where q <= 3),
@@ -119,7 +119,7 @@ b as (select app_key, execution_id, root, n_nodes from f where sure
   union all select r.app_key, r.execution_id, r.root, r.n_nodes from r left join s using (app_key)
     where r.r <= 30 - coalesce(s.n_sure, 0))
 select app_key, execution_id, root, n_nodes, position from (select *, row_number() over (partition by app_key
-  order by execution_id) as position from b) t where position <= 30"""
+  order by execution_id) as position from b) t where position <= 30) z"""
 
 
 @query("select_sql_executions", SELECTED)

@@ -183,9 +183,13 @@ def with_views(sql: str, views: dict[str, str], tables: dict[str, str], recursiv
     return f"{word} {clause}\n{sql}" if names else sql
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(
+    spark: SparkSession, sf_dir: str, name: str, written: dict[str, str] | None = None
+) -> DataFrame:
+    """A view as DataFrame; views named in ``written`` are read from their paths."""
     tables = {t: f"parquet.`{sf_dir.rstrip('/')}/{t}.parquet`" for t in TABLES}
-    return spark.sql(with_views(f"select * from {name}", VIEWS, tables))
+    stored = {v: f"select * from parquet.`{path}`" for v, path in (written or {}).items()}
+    return spark.sql(with_views(f"select * from {name}", {**VIEWS, **stored}, tables))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -206,10 +210,18 @@ def parent_ids() -> Column:
 
 
 def view_log(spark: SparkSession, sf_dir: str) -> JobLog:
-    """The derived log as fact tables, without going through text."""
+    """The derived log as fact tables, without going through text.
+
+    The two aggregates all small tables come from are written once.
+    """
+    written: dict[str, str] = {}
+    for name in ("v_attempt", "v_app_executor"):
+        path = fresh_dir(spark, name)
+        view(spark, sf_dir, name).write.parquet(path)
+        written[name] = path
 
     def v(name: str) -> DataFrame:
-        return view(spark, sf_dir, name)
+        return view(spark, sf_dir, name, written)
 
     infos = F.array_sort(
         F.collect_list(F.struct("stage_id", F.lit(3).cast("bigint").alias("num_tasks")))
