@@ -80,7 +80,7 @@ def _read_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
                             }
                             for number, info in enumerate(files)
                         ]
-                    except zipfile.BadZipFile:
+                    except (zipfile.BadZipFile, ValueError):
                         magic = "??"
             table = pd.DataFrame([{**head, "magic": magic, **row} for row in rows or [blank]])
             yield table[[c.split()[0] for c in MEMBER_SCHEMA.split(", ")]]

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from loomlog import schema as S
 from loomlog.functions.scalars import whole
 
-JSON_OPTIONS = {"allowSingleQuotes": "false"}
+# Plans nest deeply and descriptions get long, so the reader's default limits are lifted.
+JSON_OPTIONS = {
+    "allowSingleQuotes": "false",
+    "maxNestingDepth": "1000000",
+    "maxStringLen": str(2**31 - 1),
+}
 
 
 class JobLog(NamedTuple):

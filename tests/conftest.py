@@ -10,7 +10,7 @@ from loomlog.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", "loomlog-tests")
+    session = local_session("4", "loomlog-tests", **{"spark.sql.codegen.wholeStage": "false"})
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
