@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.spread import salted_join
+from loomlog.functions.scalars import bound
+from loomlog.spread import at_least_cores, salted_join
 
 LEAST = 15  # shortest line that counts as a partial match
 PREFIX = 50
@@ -65,11 +66,13 @@ def _matches(report_sources: DataFrame) -> DataFrame:
             F.lit(tier).alias("tier"), start.cast("int").alias("a"), end.cast("int").alias("b")
         )
 
-    in_text = (
-        F.when(exact > 0, found(1, exact_line, exact_line + n_breaks))
-        .when(has_lines & block.isNotNull(), found(2, block + 1, block + n_wanted))
-        .when(has_lines & near.isNotNull(), found(3, near + 1, near + n_wanted))
-        .when(has_lines & part.isNotNull(), found(4, part + 1, part + n_wanted))
+    def lines_from(tier: int, place: Column) -> Column:
+        hit = bound(place, lambda i: F.when(i.isNotNull(), found(tier, i + 1, i + n_wanted)))
+        return F.when(has_lines, hit)
+
+    whole = F.when(exact > 0, found(1, exact_line, exact_line + n_breaks))
+    in_text = F.coalesce(
+        whole, lines_from(2, block), lines_from(3, near), lines_from(4, part)
     )
     in_text = F.when(snippet != "", in_text)
     header = F.concat(
@@ -94,7 +97,7 @@ def locate_snippets(reports: DataFrame, sources: DataFrame) -> DataFrame:
     first, for the snippet, and only then for the function header. Each file row meets its
     report's findings inside the row, and only matches leave it.
     """
-    matched = salted_join(sources, reports, ["app_key"], ["file_name", "file_ord"], "inner")
+    matched = salted_join(at_least_cores(sources), reports, ["app_key"], ["file_name", "file_ord"], "inner")
     files = matched.withColumn("_src", _unix(F.col("text"))).withColumn(
         "_lines", F.transform(F.split("_src", "\n", -1), _strip)
     )

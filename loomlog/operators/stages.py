@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomlog.functions.scalars import safe_pct, safe_ratio, stage_name
 from loomlog.operators.attempts import KEYS, mark_tasks, stage_state
 from loomlog.operators.rollups import stage_medians, stage_tasks_accepted
+from loomlog.session import materialize
 from loomlog.sources.events import JobLog
 from loomlog.spread import salted_join
 
@@ -55,7 +56,8 @@ def stage_table(log: JobLog) -> DataFrame:
     The envelope starts from the last event that set a time and is widened by the accepted
     tasks that ended after it. 0 means unknown.
     """
-    state = stage_state(log.stage_events)
+    # Three joins read the state; written out, it is computed once and its size is known.
+    state = materialize(stage_state(log.stage_events), "state")
     marked = mark_tasks(log.tasks, state, keep_salt=True)
     rollup = stage_tasks_accepted(marked)
     known = (

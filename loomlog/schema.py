@@ -62,7 +62,7 @@ TASK_SCHEMA = (
     "`Task Executor Metrics` struct<MinorGCCount: string, MajorGCCount: string, "
     "TotalGCTime: string>"
 )
-SQL_START_SCHEMA = "executionId string, description string, sparkPlanInfo string"
+SQL_START_SCHEMA = "executionId string, description string"
 
 # task_fact column -> path of its numeric leaf in the task-end record.
 TASK_NUMBERS = {

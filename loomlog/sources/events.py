@@ -33,36 +33,48 @@ class JobLog(NamedTuple):
     sql_starts: DataFrame
 
 
+def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is computed once per row.
+
+    A filter on a plain column would be pushed below its projection and parse the text again;
+    no filter moves below a generator.
+    """
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def _heads(lines: DataFrame) -> DataFrame:
-    """Adds ``_head``: the line as an array of one record, or NULL where it is no JSON.
+    """Adds ``_event``: the event name of the line, NULL where the line is no such record.
 
-    Inside brackets, text after the record breaks the array, so a line with trailing
-    content is rejected, which a record parsed on its own would not be.
+    The line is parsed as a field of an enclosing record. Text after its end then breaks the
+    enclosing record, while a line parsed on its own would be accepted up to there.
     """
-    boxed = F.concat(F.lit("["), F.col("line"), F.lit("]"))
-    head = F.from_json(boxed, "array<struct<Event:string>>", JSON_OPTIONS)
-    shaped = F.col("line").startswith("{") & F.col("line").endswith("}")
-    return lines.withColumn("_head", F.when(shaped & (F.size(head) == 1), head[0]))
+    boxed = F.concat(F.lit('{"r":'), F.col("line"), F.lit("}"))
+    head = F.from_json(boxed, "r struct<Event:string>", JSON_OPTIONS)
+    return _once(lines, head["r"]["Event"], "_event")
 
 
 def parse_events(lines: DataFrame) -> DataFrame:
     """``app_key, seq, event_type, body`` of every line that is a record with an event name."""
-    heads = _heads(lines).filter(F.col("_head.Event").isNotNull())
+    heads = _heads(lines).filter(F.col("_event").isNotNull())
     return heads.select(
-        "app_key", "seq", F.col("_head.Event").alias("event_type"), F.col("line").alias("body")
+        "app_key", "seq", F.col("_event").alias("event_type"), F.col("line").alias("body")
     )
 
 
 def quarantine_events(lines: DataFrame) -> DataFrame:
     """The complement of ``parse_events``, with a reason per line."""
-    heads = _heads(lines).filter(F.col("_head.Event").isNull())
+    heads = _heads(lines).filter(F.col("_event").isNull())
+    # In an array, text after the record is an error as well, and a missing name is not.
+    boxed = F.concat(F.lit("["), F.col("line"), F.lit("]"))
+    array = F.from_json(boxed, "array<struct<Event:string>>", JSON_OPTIONS)
+    is_record = F.col("line").startswith("{") & F.col("line").endswith("}") & (F.size(array) == 1)
     other_json = ~F.col("line").startswith("{") & F.expr("try_parse_json(line) is not null")
     reason = (
-        F.when(F.col("_head").isNotNull(), "no_event_name")
+        F.when(is_record, "no_event_name")
         .when(other_json, "not_an_object")
         .otherwise("malformed_json")
     )
-    return heads.withColumn("reason", reason).drop("_head")
+    return heads.withColumn("reason", reason).drop("_event")
 
 
 def write_bronze(events: DataFrame, path: str) -> None:
@@ -85,7 +97,7 @@ def sql_start_events(events: DataFrame) -> DataFrame:
 
 def _typed(events: DataFrame, ddl: str) -> DataFrame:
     record = F.from_json("body", ddl, JSON_OPTIONS)
-    return events.select("app_key", "seq", "event_type", record.alias("r"))
+    return _once(events, record, "r").drop("body")
 
 
 def _kind(event_type: str, when_equal: str, otherwise: str) -> Column:
@@ -211,15 +223,23 @@ def profile_facts(events: DataFrame) -> DataFrame:
 
 
 def sql_start_facts(events: DataFrame) -> DataFrame:
-    """One row per SQL execution start; ``plan_json`` is NULL where no plan object came along."""
-    r = _typed(sql_start_events(events), S.SQL_START_SCHEMA)
-    plan = F.when(F.ltrim(F.col("r.sparkPlanInfo")).startswith("{"), F.col("r.sparkPlanInfo"))
-    return r.select(
+    """One row per SQL execution start; ``plan_json`` is NULL where no plan object came along.
+
+    Copying out a nested object has a fixed depth limit in the JSON reader. A deeper plan
+    keeps its whole record as ``plan_json``, which the plan walk understands.
+    """
+    starts = sql_start_events(events)
+    named = _once(starts, F.from_json("body", S.SQL_START_SCHEMA, JSON_OPTIONS), "r")
+    plan = F.from_json("body", "sparkPlanInfo string", JSON_OPTIONS)["sparkPlanInfo"]
+    both = _once(named, plan, "_plan")
+    is_object = F.ltrim(F.col("_plan")).startswith("{")
+    too_deep = F.col("_plan").isNull() & F.col("body").rlike(r'"sparkPlanInfo"\s*:\s*\{')
+    return both.select(
         "app_key",
         "seq",
         F.col("r.executionId").try_cast("bigint").alias("execution_id"),
         F.coalesce("r.description", F.lit("")).alias("description"),
-        plan.alias("plan_json"),
+        F.when(is_object, F.col("_plan")).when(too_deep, F.col("body")).alias("plan_json"),
     )
 
 

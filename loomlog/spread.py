@@ -11,6 +11,18 @@ SALT = "_salt"
 SALTS = 16
 
 
+def fits_broadcast(rows: DataFrame) -> bool:
+    """Whether Spark's size for ``rows`` is below the session's broadcast threshold.
+
+    The size is that of the files for written tables; for computed rows it is an estimate
+    from above, so those rarely qualify.
+    """
+    spark = rows.sparkSession
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    session = spark._jsparkSession.sessionState().conf()
+    return int(str(size)) <= session.autoBroadcastJoinThreshold()
+
+
 def salted_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -20,16 +32,18 @@ def salted_join(
     salts: int = SALTS,
     keep_salt: bool = False,
 ) -> DataFrame:
-    """Join ``facts`` to one-row-per-key ``dim`` with every key cut into ``salts`` parts.
+    """Join ``facts`` to one-row-per-key ``dim`` without piling a hot key into one task.
 
-    The fact rows of one key are spread by a hash of ``spread``; ``dim`` is repeated
-    ``salts`` times, so the hottest shuffle partition shrinks by that factor. With
-    ``keep_salt`` the salt stays, and a following aggregation on ``keys + [SALT]``
-    reuses the join's partitioning. Spark still broadcasts ``dim`` when its measured
-    size allows.
+    A ``dim`` whose size Spark knows to be below the broadcast threshold is broadcast, and
+    the facts stay where they are. Otherwise every key is cut into ``salts`` parts: fact rows
+    are spread by a hash of ``spread`` and ``dim`` is repeated, so the hottest shuffle
+    partition shrinks by that factor. With ``keep_salt`` the salt stays, and a following
+    aggregation on ``keys + [SALT]`` reuses the join's partitioning.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"salted_join keeps fact rows only: {how}")
+    if fits_broadcast(dim):
+        return facts.join(F.broadcast(dim), list(keys), how)
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     left = facts.withColumn(SALT, salt)
     right = dim.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -37,6 +51,18 @@ def salted_join(
     return joined if keep_salt else joined.drop(SALT)
 
 
+def at_least_cores(rows: DataFrame) -> DataFrame:
+    """Spreads rows over all cores where their files make fewer partitions than that.
+
+    For inputs whose work per row is heavy; large inputs keep their partitions and no
+    shuffle is added.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(2 * cores)
+
+
 def bounded_lists(
     rows: DataFrame, keys: Sequence[str], item: Column, name: str, limit: int = 100_000
 ) -> DataFrame:

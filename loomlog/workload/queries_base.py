@@ -19,7 +19,7 @@ from loomlog.sources import archives, events, lines
 from loomlog.spread import salted_join
 from loomlog.workload.oracle_views import pct, ratio, sc
 from loomlog.workload.registry import query
-from loomlog.workload.views import log_lines, prepared_log, table, view, view_log
+from loomlog.workload.views import prepared_lines, prepared_log, table, view
 
 KEYS = ["app_key", "stage_id"]
 
@@ -131,7 +131,7 @@ union all select app_key, 'org.apache.spark.sql.execution.ui.SparkListenerSQLExe
 
 @query("parse_events", EVENT_COUNTS)
 def parse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = events.parse_events(log_lines(view_log(spark, sf_dir)))
+    parsed = events.parse_events(prepared_lines(spark, sf_dir))
     return parsed.groupBy("app_key", "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -177,7 +177,7 @@ TASK_SUMS = [c for c in S.TASK_NUMBERS if c not in ("stage_id", "launch_ms", "fi
     + " from v_task group by 1, 2",
 )
 def filter_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = events.task_facts(events.parse_events(log_lines(view_log(spark, sf_dir))))
+    tasks = events.task_facts(events.parse_events(prepared_lines(spark, sf_dir)))
     epoch = F.lit(1700000000000)
     return tasks.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n"),

@@ -20,6 +20,7 @@ from loomlog.operators import (
     stages,
 )
 from loomlog.session import fresh_dir, materialize
+from loomlog.spread import at_least_cores
 from loomlog.workload.oracle_views import ALL_SUMS, STAGE_SUMS, pct, ratio, sc
 from loomlog.workload.registry import query
 from loomlog.workload.views import prepared_log, table
@@ -606,7 +607,7 @@ from (select doc_id, island, min(no) as first_no,
 group by doc_id""",
 )
 def win_run_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    documents = at_least_cores(table(spark, sf_dir, "documents"))
     return collapse_runs(documents, "text", "collapsed").select("doc_id", "collapsed")
 
 

@@ -175,7 +175,8 @@ left join (select app_key, count(*) as n from v_task group by 1) t using (app_ke
 def sink_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the nested documents, reads them back and unfolds their records."""
     path = fresh_dir(spark, "summary")
-    D.nested_documents(D.summary_records(*_parts(spark, sf_dir))).write.option(
+    records = materialize(D.summary_records(*_parts(spark, sf_dir)), "records")
+    D.nested_documents(records).write.option(
         "compression", "gzip"
     ).json(path)
     docs = spark.read.schema("app_key string, document string").json(path)
@@ -270,7 +271,7 @@ def sink_report_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sink_report_documents")
 def sink_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.report_documents(L.report_lines(*_parts(spark, sf_dir)))
+    return L.report_documents(materialize(L.report_lines(*_parts(spark, sf_dir)), "lines"))
 
 
 @query(

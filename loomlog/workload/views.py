@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomlog import schema as S
 from loomlog.session import fresh_dir
+from loomlog.spread import at_least_cores
 from loomlog.sources.events import (
     JobLog,
     job_log,
@@ -265,7 +266,7 @@ def view_log(spark: SparkSession, sf_dir: str) -> JobLog:
     props = F.map_from_entries(F.collect_list(F.struct("key", "value")))
     return JobLog(
         apps=app.select("app_key").union(v("v_plan").select("app_key")).distinct(),
-        tasks=v("v_task"),
+        tasks=at_least_cores(v("v_task")),
         stage_events=v("v_stage_event").withColumn("parent_ids", parent_ids()),
         job_starts=job_rows.join(listed, ["app_key", "job_id"]).select(
             "app_key", F.col("job_id").alias("seq"), "job_id", "start_ms", "stage_infos"
@@ -277,30 +278,43 @@ def view_log(spark: SparkSession, sf_dir: str) -> JobLog:
         app_events=app_events,
         env_events=v("v_env").groupBy("app_key", "seq").agg(props.alias("props")),
         profiles=v("v_profile"),
-        sql_starts=v("v_sql_exec").select(
+        sql_starts=at_least_cores(v("v_sql_exec")).select(
             "app_key", "seq", "execution_id", "description", "plan_json"
         ),
     )
 
 
-_PREPARED: dict[tuple[str, str], JobLog] = {}
+_PREPARED: dict[tuple[str, str], tuple[DataFrame, JobLog]] = {}
 
 
-def prepared_log(spark: SparkSession, sf_dir: str) -> JobLog:
-    """The derived log after ingestion: JSON lines parsed once, fact tables in the shared folder.
+def _prepare(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, JobLog]:
+    """Writes the log's JSON lines, parses them once, and writes the fact tables.
 
-    Logs are ingested once and then queried many times, so a session keeps the location.
+    Everything lies in the shared folder. Logs are ingested once and then queried many
+    times, so a session keeps the location.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PREPARED:
         folder = fresh_dir(spark, "joblog")
-        write_bronze(parse_events(log_lines(view_log(spark, sf_dir))), f"{folder}/bronze")
+        log_lines(view_log(spark, sf_dir)).write.parquet(f"{folder}/lines")
+        lines = spark.read.parquet(f"{folder}/lines")
+        write_bronze(parse_events(lines), f"{folder}/bronze")
         bronze = read_bronze(spark, f"{folder}/bronze")
         save_job_log(job_log(bronze), f"{folder}/facts")
-        _PREPARED[key] = load_job_log(spark, f"{folder}/facts")
+        _PREPARED[key] = (lines, load_job_log(spark, f"{folder}/facts"))
     return _PREPARED[key]
 
 
+def prepared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw lines ``prepared_log`` was parsed from."""
+    return _prepare(spark, sf_dir)[0]
+
+
+def prepared_log(spark: SparkSession, sf_dir: str) -> JobLog:
+    """The derived log after ingestion, as fact tables."""
+    return _prepare(spark, sf_dir)[1]
+
+
 def _named(**fields: Column) -> Column:
     return F.struct(*(c.alias(name.replace("_", " ")) for name, c in fields.items()))
 

@@ -119,7 +119,7 @@ def archive_dir(tmp_path_factory):
         "many.zip": zip_bytes({f"f{i}": event for i in range(1001)}),
         "limit.zip": zip_bytes({f"f{i}": event for i in range(1000)}),
         "bomb.zip": zip_bytes({"z": b"0" * 1_000_000, "ok": event}, 9),
-        "none.zip": zip_bytes({}),
+        "none.zip": zip_bytes({"dir/": ""}),
     }
     for name, body in files.items():
         (folder / name).write_bytes(body)
