@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.scalars import scaled
@@ -709,28 +709,32 @@ def distinct_stage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sort_outputs",
     """
-select app_key, stage_id, row_number() over (order by app_key, stage_id) as position
+select app_key, stage_id, row_number() over (partition by app_key order by stage_id) as position
 from o_stage_all""",
 )
 def sort_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The written order of a globally sorted sink, read back from its files."""
-    rows = prepared_log(spark, sf_dir).tasks.select(*KEYS).distinct().orderBy(*KEYS)
+    """The order a globally sorted sink has on disk, read back from its files.
+
+    A row's position in its application is its place in the file plus the application's
+    rows in the files before; only the sizes per (application, file) are ranked.
+    """
     path = fresh_dir(spark, "sorted")
-    rows.write.parquet(path)
-    back = spark.read.parquet(path).select(
+    prepared_log(spark, sf_dir).tasks.select(*KEYS).distinct().orderBy(*KEYS).write.parquet(path)
+    rows = spark.read.parquet(path).select(
         "*",
         F.col("_metadata.file_name").alias("_file"),
         F.col("_metadata.row_index").alias("_row"),
     )
-    # Positions come from per-file row numbers plus the sizes of the files before.
-    sizes = back.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return back.join(offsets.drop("_n"), "_file").select(
-        *KEYS, (F.col("_offset") + F.col("_row") + 1).alias("position")
+    parts = rows.groupBy("app_key", "_file").agg(
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    earlier = Window.partitionBy("app_key").orderBy("_file")
+    before = F.coalesce(
+        F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
+    placed = rows.join(parts.withColumn("_before", before), ["app_key", "_file"])
+    position = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    return placed.select(*KEYS, position.alias("position"))
 
 
 # --- graphs --------------------------------------------------------------------------------
