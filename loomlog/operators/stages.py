@@ -25,20 +25,26 @@ def stage_jobs(log: JobLog) -> DataFrame:
     return listed_stages(log).groupBy(*KEYS).agg(F.max_by("job_id", "seq").alias("job_id"))
 
 
-def stage_task_counts(log: JobLog) -> DataFrame:
-    """Last announced number of tasks per stage, from job starts and stage events."""
-    announced = listed_stages(log).select(*KEYS, "seq", "num_tasks")
-    from_events = log.stage_events.select(*KEYS, "seq", "num_tasks")
-    both = announced.unionByName(from_events).filter(F.col("num_tasks").isNotNull())
-    return both.groupBy(*KEYS).agg(F.max_by("num_tasks", "seq").alias("num_tasks"))
-
-
-def stage_first_seen(log: JobLog) -> DataFrame:
-    """Where each announced stage first appeared; equal positions are told apart by list place."""
-    announced = listed_stages(log).select(*KEYS, "seq", "pos")
-    from_events = log.stage_events.select(*KEYS, "seq", F.lit(0).alias("pos"))
-    return announced.unionByName(from_events).groupBy(*KEYS).agg(
-        F.min(F.struct("seq", "pos")).alias("seen")
+def announced_stages(log: JobLog) -> DataFrame:
+    """One row per stage that a job start or stage event names, from one pass over both.
+
+    ``seen`` is where it first appeared, with the list place for equal positions;
+    ``num_tasks`` the last announced size and ``job_id`` the last job start that lists it.
+    """
+    from_jobs = listed_stages(log).select(*KEYS, "seq", "pos", "job_id", "num_tasks")
+    from_events = log.stage_events.select(
+        *KEYS,
+        "seq",
+        F.lit(0).alias("pos"),
+        F.lit(None).cast("bigint").alias("job_id"),
+        "num_tasks",
+    )
+
+    def last(column: str):
+        return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("seq"))).alias(column)
+
+    return from_jobs.unionByName(from_events).groupBy(*KEYS).agg(
+        F.min(F.struct("seq", "pos")).alias("seen"), last("num_tasks"), last("job_id")
     )
 
 
@@ -60,12 +66,7 @@ def stage_table(log: JobLog) -> DataFrame:
     state = materialize(stage_state(log.stage_events), "state")
     marked = mark_tasks(log.tasks, state, keep_salt=True)
     rollup = stage_tasks_accepted(marked)
-    known = (
-        stage_first_seen(log)
-        .join(state.drop("steps"), KEYS, "left")
-        .join(stage_task_counts(log), KEYS, "left")
-        .join(stage_jobs(log), KEYS, "left")
-    )
+    known = announced_stages(log).join(state.drop("steps"), KEYS, "left")
     rows = known.join(rollup, KEYS, "full_outer").join(stage_medians(marked), KEYS, "left")
     start = F.coalesce(F.least("start_event_ms", "task_start_ms"), F.lit(0))
     end = F.coalesce(F.greatest("end_event_ms", "task_end_ms"), F.lit(0))
