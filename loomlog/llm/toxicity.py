@@ -8,8 +8,9 @@ without noise have one path only and are their own decoding; decoded tokens are
 
 The restored text is scored by its words and the first letters of its words. A feature's weight is
 the share of toxic texts among labelled texts that hold it, drawn to the base rate by a prior whose
-strength grows with the number of features tested, so that chance finds stay below one half. A
-text's score is that of its strongest feature.
+strength grows with the number of features tested, so that chance finds stay below one half. The
+``STRONGEST`` words of a text go into a logistic function. It is fitted on one half of the
+sample with weights from the other half, so it knows how far a weight holds on unseen texts.
 
 The model is fitted on at most ``SAMPLE`` labelled rows, chosen by a hash of ``doc_id``; the
 language model counts every text.
@@ -22,6 +23,7 @@ and without any label every score is ``NO_EVIDENCE``; other columns are not read
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import math
 import re
@@ -42,8 +44,10 @@ SAMPLE = 20_000
 FOLDS = 5
 NO_EVIDENCE = 0.01
 MIN_WEIGHT = 0.2
+STRONGEST = 3
 HEADS = (4, 5)
 CHANCE_FINDS = 0.1
+MIN_HALF = 30
 MAX_TOKEN = 64
 MAX_KEPT = 400_000
 
@@ -64,7 +68,7 @@ _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ][^\W_]){2,}(?!\S)")
 _NOISE = re.compile(
     r"(?=.*[^\W\d_])(?=.*(?:[0134567890@$!|+(€£¡]|([^\W\d_])\1\1|[^\W\d_][.\-_*~'`]+[^\W\d_]))", re.DOTALL
 )
-_EDGE = ".,;:?\"'()[]{}<>«»"
+_EDGE = re.compile(r"^[^\w@$€£(|+!¡]+|[^\w@$€£|+!]+$|^[!|+(]{2,}|[@$€£|+!]{2,}$|!+$|^@@+|^\$\$+")
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -135,7 +139,9 @@ def decode(token: str, costs: np.ndarray) -> str:
 
 def restore(token: str, costs: np.ndarray) -> str:
     """A token as a plain word in lower case."""
-    word = token.lower().strip(_EDGE)
+    word, before = token.lower(), ""
+    while word != before:
+        word, before = _EDGE.sub("", word), word
     return decode(word, costs) if _NOISE.match(word) else word
 
 
@@ -149,28 +155,48 @@ class Model:
 
     costs: np.ndarray
     weights: dict[str, float]
+    slopes: np.ndarray | None = None
     _kept: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
-        return {"costs": self.costs, "weights": self.weights, "_kept": {}}
+        return {"costs": self.costs, "weights": self.weights, "slopes": self.slopes, "_kept": {}}
 
     def token(self, token: str) -> float:
+        """The weight of the strongest feature of a token's reading."""
         found = self._kept.get(token)
         if found is None:
-            word = restore(token, self.costs)
             weight = self.weights.get
-            found = max([weight(name, 0.0) for name in features(word)], default=0.0)
+            found = max([weight(name, 0.0) for name in features(restore(token, self.costs))], default=0.0)
             if len(self._kept) > MAX_KEPT:
                 for key in list(itertools.islice(self._kept, MAX_KEPT // 2)):
                     del self._kept[key]
             self._kept[token] = found
         return found
 
+    def evidence(self, text: str) -> list[float]:
+        """The weights of the strongest different tokens, descending."""
+        tokens = {*text.split(), *_SPACED.findall(text)}
+        return heapq.nlargest(STRONGEST, itertools.chain(map(self.token, tokens), [0.0] * STRONGEST))
+
     def score(self, text: str) -> float:
-        found = max(map(self.token, set(text.split())), default=0.0)
-        for run in _SPACED.findall(text):
-            found = max(found, self.token(run))
-        return max(found, NO_EVIDENCE)
+        found = self.evidence(text)
+        if not found[0]:
+            return NO_EVIDENCE
+        if self.slopes is None:
+            return found[0]
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slopes[0] + float(self.slopes[1:] @ found)))))
+
+
+def logistic(rows: np.ndarray, truth: np.ndarray, rounds: int = 30, ridge: float = 0.1) -> np.ndarray:
+    """Intercept and non-negative slopes of a logistic regression, by Newton's method."""
+    x = np.column_stack([np.ones(len(rows)), rows])
+    slopes = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ slopes, -30, 30)))
+        slope = x.T @ (truth - p) - ridge * slopes
+        bend = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        slopes = slopes + np.linalg.solve(bend, slope)
+    return np.concatenate((slopes[:1], np.maximum(slopes[1:], 0.0)))
 
 
 def text_features(text: str, costs: np.ndarray) -> set[str]:
@@ -190,40 +216,70 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return rows.join(F.broadcast(known), "_id").select("text", "toxic")
 
 
+def _shared_heads(found: dict[str, np.ndarray], most: float = 0.8) -> dict[str, np.ndarray]:
+    """Without the heads of which one word has nearly all occurrences: the word says as much."""
+    largest: dict[str, int] = {}
+    for word, n in found.items():
+        for head in features(word)[1:] if not word.endswith("-") else ():
+            largest[head] = max(largest.get(head, 0), int(n.sum()))
+    return {name: n for name, n in found.items() if largest.get(name, 0) < most * n.sum()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts letter trigrams of all texts, then feature weights on the labelled sample."""
     costs = trigram_costs(trigram_counts(docs))
-    rows = materialize(training_rows(docs, labels, sample), "labelled")
-    totals = {row["toxic"]: row["count"] for row in rows.groupBy("toxic").count().collect()}
-    toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    if not toxic or not clean:
+    rows = training_rows(docs, labels, sample).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
+    rows = materialize(rows.repartition(F.xxhash64("text")), "labelled")
+    totals = {(row["toxic"], row["half"]): row["count"] for row in rows.groupBy("toxic", "half").count().collect()}
+    toxic, clean = (np.array([totals.get((label, half), 0) for half in (0, 1)]) for label in (1, 0))
+    if not toxic.sum() or not clean.sum():
         return Model(costs, {})
 
-    def counted(part: DataFrame, wanted: frozenset[str] | None) -> dict[str, int]:
+    def counted(part: DataFrame, wanted: frozenset[str] | None) -> dict[str, np.ndarray]:
         def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found: Counter[str] = Counter()
+            found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
             for frame in frames:
-                for text in frame["text"]:
+                for text, half in zip(frame["text"], frame["half"]):
                     names = text_features(text, costs)
-                    found.update(names if wanted is None else names & wanted)
-            yield pd.DataFrame({"name": list(found), "n": list(found.values())}).astype({"name": str, "n": "int64"})
+                    found[half].update(names if wanted is None else names & wanted)
+            for half in (0, 1):
+                table = pd.DataFrame({"name": list(found[half]), "half": half, "n": list(found[half].values())})
+                yield table.astype({"name": str, "half": "int32", "n": "int64"})
 
-        summed = part.mapInPandas(count, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
-        return {row["name"]: row["n"] for row in summed.filter("n > 1").toLocalIterator()}
+        each = [F.sum(F.when(F.col("half") == half, F.col("n")).otherwise(0)).alias(f"n{half}") for half in (0, 1)]
+        summed = part.mapInPandas(count, "name string, half int, n long").groupBy("name").agg(*each)
+        summed = summed.filter("n0 + n1 > 1")
+        return {row["name"]: np.array([row["n0"], row["n1"]]) for row in summed.toLocalIterator()}
 
     # Both tables are bounded by the words of the sample.
-    spread = rows.repartition(F.xxhash64("text"))
-    in_toxic = counted(spread.filter("toxic = 1"), None)
-    in_clean = counted(spread.filter("toxic = 0"), frozenset(in_toxic))
-    base = min(0.45, toxic / (toxic + clean))
-    needed = math.log(max(2, len(in_toxic)) / CHANCE_FINDS) / math.log(1 / base)
-    strength = needed / (1 - 2 * base)
-    weights = {}
-    for name, n in in_toxic.items():
-        weight = (n + strength * base) / (n + in_clean.get(name, 0) + strength)
-        if weight >= MIN_WEIGHT:
-            weights[name] = weight
-    return Model(costs, weights)
+    in_toxic = _shared_heads(counted(rows.filter("toxic = 1"), None))
+    in_clean = counted(rows.filter("toxic = 0"), frozenset(in_toxic))
+
+    def weights(halves: list[int]) -> dict[str, float]:
+        t, c = int(toxic[halves].sum()), int(clean[halves].sum())
+        base = min(0.45, max(t, 1) / max(t + c, 2))
+        needed = math.log(max(2, len(in_toxic)) / CHANCE_FINDS) / math.log(1 / base)
+        strength = needed / (1 - 2 * base)
+        found = {}
+        for name, n in in_toxic.items():
+            hits, others = int(n[halves].sum()), int(in_clean.get(name, nothing)[halves].sum())
+            weight = (hits + strength * base) / (hits + others + strength)
+            if weight >= MIN_WEIGHT:
+                found[name] = weight
+        return found
+
+    nothing = np.zeros(2, dtype=np.int64)
+    first = Model(costs, weights([0]))
+
+    def unseen(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"toxic": frame["toxic"], "found": [first.evidence(text) for text in frame["text"]]})
+
+    slopes = None
+    if min(*toxic, *clean) >= MIN_HALF:
+        tried = rows.filter("half = 1").mapInPandas(unseen, "toxic int, found array<double>").toPandas()
+        slopes = logistic(np.array(tried["found"].tolist()), tried["toxic"].to_numpy())
+    return Model(costs, weights([0, 1]), slopes)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
