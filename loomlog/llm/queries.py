@@ -98,4 +98,34 @@ QUERIES: dict[str, Query] = {
     "op10_fingerprints": simhash_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_poisson_mix": f"""
+        with rows as (
+          select *, coalesce('s' || source, 'n') as src, coalesce(text, '') as body,
+            coalesce(cast(doc_id as varchar), 't' || md5(coalesce(text, ''))) as name from documents),
+        sources as (select src, sum(length(body))::bigint as chars from rows group by src),
+        whole as (select sum(sqrt(chars::double)) as weights, sum(chars)::bigint as chars from sources),
+        rates as (
+          select s.src, case when s.chars > 0 then sqrt(s.chars::double) / w.weights * w.chars / s.chars else 1 end as rate
+          from sources s, whole w),
+        cdf as (
+          select src, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) over (partition by src order by k) as upto
+          from rates, lateral (select unnest(range(0, cast(rate + 12 * sqrt(rate) + 40 as bigint))) as k)),
+        points as (
+          select *, ('0x' || substr(md5('{mixing.SEED}:' || name), 1, {mixing.HASH_DIGITS}))::bigint
+            / pow(16, {mixing.HASH_DIGITS}) as point from rows),
+        drawn as (
+          select p.doc_id, p.source, p.text,
+            (select count(*) from cdf c where c.src = p.src and c.upto <= p.point)::bigint as n_copies
+          from points p)
+        select doc_id, source, unnest(range(1, n_copies + 1)) as copy, n_copies, text from drawn where n_copies > 0
+    """,
+    "op5_warc": f"""
+        with rows as (select page_id, coalesce(html, '') as html from pages),
+        first as (select html, max(page_id) as top from rows where strlen(html) >= {warc.REVISIT_FROM} group by html)
+        select r.page_id, strlen(r.html)::bigint as payload_bytes, sha1(r.html) as payload_digest,
+          case when f.top is not null and f.top is distinct from r.page_id then 'revisit' else 'response' end as record_type,
+          case when f.top is distinct from r.page_id then f.top end as refers_to
+        from rows r left join first f on r.html = f.html
+    """,
+}

@@ -22,8 +22,8 @@ PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 END_ID = 0
-MAX_PIECES = 300_000
-MAX_WORDS = 800_000
+MAX_PIECES = 200_000
+MAX_WORDS = 500_000
 
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")

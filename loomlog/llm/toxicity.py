@@ -142,7 +142,7 @@ def restore(token: str, costs: np.ndarray) -> str:
     word, before = token.lower(), ""
     while word != before:
         word, before = _EDGE.sub("", word), word
-    return decode(word, costs) if _NOISE.match(word) else word
+    return decode(word, costs) if _NOISE.match(word) or _SPACED.fullmatch(word) else word
 
 
 def features(word: str) -> list[str]:
