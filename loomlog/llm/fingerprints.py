@@ -69,26 +69,31 @@ def _next_buckets(buckets: DataFrame) -> DataFrame:
 def next_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, text, key, next_key, next_text``; ``key`` names a row, also among equal ones."""
     rows = _ordered(docs)
-    buckets = materialize(rows.select("last", "bucket").distinct(), "buckets")
-    chain = materialize(_next_buckets(buckets), "bucket-chain")
+    lead_row = F.struct(F.bitwise_not("place").alias("reversed"), "text_hash")
+    buckets = rows.groupBy("last", "bucket").agg(F.min(lead_row).alias("head"))
+    buckets = materialize(buckets.select("last", "bucket", F.bitwise_not("head.reversed").alias("place"), "head.text_hash"), "buckets")
+    chain = materialize(_next_buckets(buckets.select("last", "bucket")), "bucket-chain")
+    # One text per bucket: its first document's, which follows the last one of the bucket before.
+    heads = rows.join(buckets, ["last", "bucket", "place", "text_hash"], "left_semi")
+    heads = heads.groupBy("last", "bucket").agg(F.min("text").alias("_head"))
+    heads = heads.withColumnsRenamed({"last": "next_last", "bucket": "next_bucket"})
+    follows = materialize(chain.join(heads, ["next_last", "next_bucket"]), "bucket-heads")
     inside = Window.partitionBy("last", "bucket").orderBy(F.col("place").desc(), "text_hash", "text")
-    rows = rows.withColumn("n", F.row_number().over(inside).cast("long"))
-    rows = rows.withColumn("_inside", F.lead("text").over(inside))
-    heads = rows.filter("n = 1").select(F.col("last").alias("next_last"), F.col("bucket").alias("next_bucket"), F.col("text").alias("_head"))
-    # One row per bucket: the text that follows the bucket's last document.
-    follows = chain.join(heads, ["next_last", "next_bucket"])
-    ends = rows.filter(F.col("_inside").isNull()).join(follows, ["last", "bucket"])
-    ends = ends.withColumn("_inside", F.col("_head")).withColumn("_next_n", F.lit(1).cast("long"))
-    others = rows.filter(F.col("_inside").isNotNull())
-    others = others.select("*", F.col("last").alias("next_last"), F.col("bucket").alias("next_bucket"), (F.col("n") + 1).alias("_next_n"))
-    columns = [
+    rows = rows.withColumn("n", F.row_number().over(inside).cast("long")).withColumn("_inside", F.lead("text").over(inside))
+    rows = rows.join(follows, ["last", "bucket"])
+    ends = F.col("_inside").isNull()
+    next_key = F.struct(
+        F.when(ends, F.col("next_last")).otherwise(F.col("last")).alias("last"),
+        F.when(ends, F.col("next_bucket")).otherwise(F.col("bucket")).alias("bucket"),
+        F.when(ends, F.lit(1)).otherwise(F.col("n") + 1).cast("long").alias("n"),
+    )
+    return rows.select(
         "doc_id",
         "text",
         F.struct("last", "bucket", "n").alias("key"),
-        F.struct(F.col("next_last").alias("last"), F.col("next_bucket").alias("bucket"), F.col("_next_n").alias("n")).alias("next_key"),
-        F.col("_inside").alias("next_text"),
-    ]
-    return others.select(*columns).unionByName(ends.select(*columns))
+        next_key.alias("next_key"),
+        F.coalesce("_inside", "_head").alias("next_text"),
+    )
 
 
 def term_votes(texts: DataFrame, keys: list[str]) -> DataFrame:
