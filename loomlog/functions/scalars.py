@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -41,29 +42,36 @@ def bound(value: str | Column, body: Callable[[Column], Column]) -> Column:
 
 
 def half_even(value: str | Column, digits: int = 3) -> Column:
-    """Round the exact binary value of a double, ties to even.
+    """Round the exact binary value of a double, ties to even, at any magnitude.
 
-    ``round`` and ``bround`` work on the shortest decimal text (2.675 -> 2.68). Here the
-    value is split into a part with 20 fraction bits and a small rest; both products with
-    the power of ten and the comparison with one half are then exact for magnitudes up
-    to 2**22. Larger values fall back to ``bround``.
+    ``round`` and ``bround`` work on the shortest decimal text (2.675 -> 2.68). Here the whole
+    part is taken off first. The fraction is split into a part with 20 bits and a small rest;
+    both products with the power of ten and the comparison with one half are then exact. Where
+    neighbouring doubles lie further apart than the last digit, a value is its own rounding.
     """
     power = F.lit(float(10**digits))
     grid = F.lit(float(2**20))
 
     def nearest(x: Column) -> Column:
-        coarse = F.floor(x * grid).cast("double") / grid
+        units = F.floor(x).cast("double")
+        fraction = x - units
+        coarse = F.floor(fraction * grid).cast("double") / grid
         product = coarse * power
         base = F.floor(product).cast("double")
-        above = (product - base - F.lit(0.5)) + (x - coarse) * power
-        even = F.pmod(base, F.lit(2.0)) == 0
-        up = (above > 0) | ((above == 0) & ~even)
-        rounded = F.when(up, base + 1).otherwise(base) / power
-        return F.when(F.abs(x) < F.lit(float(2**22)), rounded).otherwise(F.bround(x, digits))
+        above = (product - base - F.lit(0.5)) + (fraction - coarse) * power
+        below = units * power + base
+        up = (above > 0) | ((above == 0) & (F.pmod(below, F.lit(2.0)) != 0))
+        rounded = F.when(up, below + 1).otherwise(below) / power
+        return F.when(F.abs(x) < F.lit(2.0 ** math.ceil(52 - digits * math.log2(10))), rounded).otherwise(x)
 
     return bound(_c(value).cast("double"), nearest)
 
 
+def whole_div(a: str | Column, b: str | Column) -> Column:
+    """Division of integers without a detour over doubles; NULL for a divisor of 0."""
+    return F.call_function("div", _c(a), F.nullif(_c(b), F.lit(0)))
+
+
 def fixed(value: str | Column, digits: int) -> Column:
     """Text with a fixed number of decimals, rounded as ``half_even`` does."""
     return F.format_string(f"%.{digits}f", half_even(value, digits))
@@ -71,7 +79,7 @@ def fixed(value: str | Column, digits: int) -> Column:
 
 def ns_to_ms(value: str | Column) -> Column:
     """Floor of nanoseconds in milliseconds, taken per task before summing."""
-    return F.floor(_c(value) / F.lit(1_000_000)).cast("bigint")
+    return whole_div(value, F.lit(1_000_000))
 
 
 def task_duration(finish: str | Column = "finish_ms", launch: str | Column = "launch_ms") -> Column:

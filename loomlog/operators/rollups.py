@@ -14,6 +14,7 @@ from loomlog.functions.scalars import (
     shuffle_read_bytes,
     stage_name,
     task_duration,
+    whole_div,
 )
 from loomlog.operators.attempts import KEYS
 from loomlog.operators.ranks import p95, rank_select, upper_median
@@ -330,6 +331,6 @@ def host_rollup(marked: DataFrame, executor_events: DataFrame) -> DataFrame:
     executors = bounded_lists(pairs, ["app_key", "host"], F.col("executor_id"), "executor_ids")
     return totals.join(executors, ["app_key", "host"], "left").select(
         "*",
-        F.floor(F.col("run_ms") / F.col("tasks")).cast("bigint").alias("avg_task_ms"),
+        whole_div("run_ms", "tasks").alias("avg_task_ms"),
         safe_pct("gc_ms", "run_ms").alias("gc_pct"),
     )

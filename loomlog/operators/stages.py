@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.functions.scalars import safe_pct, safe_ratio, stage_name
+from loomlog.functions.scalars import safe_pct, safe_ratio, stage_name, whole_div
 from loomlog.operators.attempts import KEYS, mark_tasks, stage_state
 from loomlog.operators.rollups import stage_medians, stage_tasks_accepted
 from loomlog.session import materialize
@@ -177,7 +177,7 @@ def shares(rows: DataFrame) -> DataFrame:
 
 def ideal_wall(rows: DataFrame) -> DataFrame:
     ideal = F.when(
-        F.col("total_cores") > 0, F.floor(F.col("run_ms").cast("double") / F.col("total_cores"))
+        F.col("total_cores") > 0, whole_div("run_ms", "total_cores")
     ).otherwise(F.col("run_ms"))
     return rows.withColumn("ideal_wall_ms", ideal.cast("bigint"))
 

@@ -20,6 +20,7 @@ from loomlog.functions.scalars import (
     fmt_thousands,
     short_name,
     stage_flags,
+    whole_div,
 )
 from loomlog.operators.groups import (
     anomaly_summary,
@@ -235,7 +236,7 @@ def group_lines(stages: DataFrame, groups: DataFrame) -> DataFrame:
     n = F.col("n_stages")
 
     def share(name: str) -> Column:
-        return F.floor(F.col(name) / n).cast("bigint")
+        return whole_div(name, n)
 
     def row(label: str, name: str, fmt) -> Column:
         return _text(f"| {label} | ", fmt(F.col(name)), " | ", fmt(share(name)), " |")

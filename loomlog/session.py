@@ -31,13 +31,17 @@ def local_session(cores: str = "8", app_name: str = "loomlog", **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (single-JVM tests) is a temporary folder set.
+    A single JVM that names none gets a temporary folder; on a cluster the name is required, as
+    executors could not read a folder of one machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomlog-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

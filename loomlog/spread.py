@@ -23,13 +23,18 @@ def fits_broadcast(rows: DataFrame) -> bool:
     return int(str(size)) <= session.autoBroadcastJoinThreshold()
 
 
+def salt_count(spark) -> int:
+    """Parts of a key: more where the session deals rows to more partitions."""
+    return max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions")) // SALTS)
+
+
 def salted_join(
     facts: DataFrame,
     dim: DataFrame,
     keys: Sequence[str],
     spread: Sequence[str | Column],
     how: str = "left",
-    salts: int = SALTS,
+    salts: int | None = None,
     keep_salt: bool = False,
 ) -> DataFrame:
     """Join ``facts`` to one-row-per-key ``dim`` without piling a hot key into one task.
@@ -44,6 +49,7 @@ def salted_join(
         raise ValueError(f"salted_join keeps fact rows only: {how}")
     if fits_broadcast(dim):
         return facts.join(F.broadcast(dim), list(keys), how)
+    salts = salts or salt_count(dim.sparkSession)
     salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     left = facts.withColumn(SALT, salt)
     right = dim.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

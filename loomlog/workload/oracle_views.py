@@ -264,6 +264,7 @@ select a.app_key, a.app_id, a.app_name, a.start_version, a.start_ms, a.end_ms,
 from v_app a left join (select * from v_profile where seq = 3) p using (app_key)
 left join (select app_key, count(*) as n_added from v_executor_event where kind = 'add' group by app_key) x
   using (app_key)""",
+    "o_only_plan": "select distinct app_key from v_plan where app_key not in (select app_key from v_app)",
     "o_cluster": """
 select c.*, case when own > 0 then own else duration_ms * total_cores end as available_core_ms
 from (select b.*, coalesce((select cast(sum(greatest(0, d.end_ms - d.start_ms)

@@ -19,7 +19,7 @@ from loomlog.sources import archives, events, lines
 from loomlog.spread import salted_join
 from loomlog.workload.oracle_views import pct, ratio, sc
 from loomlog.workload.registry import query
-from loomlog.workload.views import prepared_lines, prepared_log, table, view
+from loomlog.workload.views import prepared_lines, prepared_log, table, view, stored_table
 
 KEYS = ["app_key", "stage_id"]
 
@@ -344,11 +344,12 @@ def fn_host_of_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     "fn_spark_version",
     """
 select app_key, coalesce(start_version, concat('4.1.', cast(length(app_key) as string))) as spark_version,
-  '4.1.2' as log_version from v_app""",
+  '4.1.2' as log_version from v_app
+union all select app_key, 'unknown', 'unknown' from o_only_plan""",
 )
 def fn_spark_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
-    rows = apps.app_meta(log).filter("app_id <> 'unknown'")
+    rows = apps.app_meta(log)
     return rows.select("app_key", "spark_version", "log_version")
 
 
@@ -388,10 +389,18 @@ def fn_execution_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", kind.alias("class"))
 
 
-@query("fn_is_write", "select app_key, root, is_write, count(*) as n from o_execution group by 1, 2, 3")
+@query(
+    "fn_is_write",
+    """
+select app_key, root, regexp_matches(root, 'Insert|Write', 'i') and position('Create' in root) = 0 as is_write,
+  count(*) as n
+from (select app_key, case when execution_id % 97 <> 5 then root end as root from v_plan) p group by 1, 2, 3""",
+)
 def fn_is_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = view(spark, sf_dir, "v_plan").filter("execution_id % 97 <> 5")
-    rows = plans.select("app_key", "root", P.is_write(F.col("root")).alias("is_write"))
+    """All executions of the parsed log; those without a plan have no root and no answer."""
+    starts = prepared_log(spark, sf_dir).sql_starts
+    root = F.get_json_object("plan_json", "$.nodeName")
+    rows = starts.select("app_key", root.alias("root"), P.is_write(root).alias("is_write"))
     return rows.groupBy("app_key", "root", "is_write").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -407,8 +416,9 @@ def fn_scan_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = prepared_log(spark, sf_dir)
-    return materialize(rollups.stage_metrics(log.tasks, log.stage_events), "metrics")
+    return stored_table(
+        spark, sf_dir, "metrics", lambda log: rollups.stage_metrics(log.tasks, log.stage_events)
+    )
 
 
 @query(

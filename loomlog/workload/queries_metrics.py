@@ -23,7 +23,7 @@ from loomlog.session import fresh_dir, materialize
 from loomlog.spread import at_least_cores
 from loomlog.workload.oracle_views import ALL_SUMS, STAGE_SUMS, pct, ratio, sc
 from loomlog.workload.registry import query
-from loomlog.workload.views import prepared_log, table
+from loomlog.workload.views import prepared_log, stored_table, table
 
 KEYS = ["app_key", "stage_id"]
 
@@ -38,8 +38,8 @@ def xs(columns: dict[str, int]) -> str:
 
 
 def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stage table as a written table: it costs a pass over all tasks and is read often."""
-    return materialize(stages.stage_table(prepared_log(spark, sf_dir)), "stages")
+    """The stage table: it costs passes over all tasks, so the log's queries share one copy."""
+    return stored_table(spark, sf_dir, "stages", stages.stage_table)
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,9 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = prepared_log(spark, sf_dir)
-    return materialize(rollups.stage_metrics(log.tasks, log.stage_events), "metrics")
+    return stored_table(
+        spark, sf_dir, "metrics", lambda log: rollups.stage_metrics(log.tasks, log.stage_events)
+    )
 
 
 # --- aggregations --------------------------------------------------------------------------
@@ -249,13 +250,16 @@ def agg_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 select a.app_key, a.app_id, a.app_name, a.start_ms, a.end_ms, a.duration_ms, a.cores as executor_cores,
   a.memory_mb as executor_memory_mb, a.n_added as executor_count, p.root as first_root
-from o_app a left join (select app_key, arg_min(root, seq) as root from o_execution group by app_key) p using (app_key)""",
+from o_app a left join (select app_key, arg_min(root, seq) as root from o_execution group by app_key) p using (app_key)
+union all
+select app_key, 'unknown', 'unknown', 0, 0, 0, 0, 0, 0, root
+from o_only_plan left join (select app_key, arg_min(root, seq) as root from o_execution group by app_key) p using (app_key)""",
 )
 def agg_app_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
     root = F.get_json_object("plan_json", "$.nodeName").alias("first_root")
     plans = apps.first_plans(log).select("app_key", root)
-    rows = apps.app_meta(log).filter("app_id <> 'unknown'").join(plans, "app_key", "left")
+    rows = apps.app_meta(log).join(plans, "app_key", "left")
     return rows.select(
         "app_key", "app_id", "app_name", "start_ms", "end_ms", "duration_ms", "executor_cores",
         "executor_memory_mb", "executor_count", "first_root",
@@ -293,11 +297,12 @@ select c.app_key, peak_executors, cores_per_executor, total_cores, memory_mb, ov
   u.used as used_core_ms, {sc('available_core_ms / 3600000.0e0')} as available_core_hours_x1000,
   {sc('u.used / 3600000.0e0')} as used_core_hours_x1000, {sc(pct('u.used', 'available_core_ms'))} as utilization_pct_x1000
 from o_cluster c join (select app_key, cast(sum(run_ms) as bigint) as used from o_stage group by app_key) u
-  using (app_key)""",
+  using (app_key)
+union all select app_key, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0 from o_only_plan""",
 )
 def agg_cluster_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
-    cluster = apps.cluster_capacity(log).filter("total_cores > 0")
+    cluster = apps.cluster_capacity(log)
     rows = apps.cluster_report(cluster, _stages(spark, sf_dir))
     return rows.select(
         "app_key", "peak_executors", "cores_per_executor", "total_cores", "memory_mb", "overhead_mb",
@@ -370,11 +375,12 @@ def agg_ideal_wall(spark: SparkSession, sf_dir: str) -> DataFrame:
 select app_key, duration_ms, job_ms, idle_ms, {sc(pct('idle_ms', 'duration_ms'))} as driver_idle_pct_x1000
 from (select a.app_key, a.duration_ms, j.job_ms, greatest(0, a.duration_ms - j.job_ms) as idle_ms
   from o_app a join (select app_key, cast(sum(greatest(0, end_ms - start_ms)) as bigint) as job_ms
-    from v_job group by app_key) j using (app_key)) t""",
+    from v_job group by app_key) j using (app_key)) t
+union all select app_key, 0, 0, 0, 0 from o_only_plan""",
 )
 def agg_driver_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
-    meta = apps.app_meta(log).filter("app_id <> 'unknown'")
+    meta = apps.app_meta(log)
     rows = apps.driver_idle(meta, apps.jobs(log))
     return rows.select("app_key", "duration_ms", "job_ms", "idle_ms", *x({"driver_idle_pct": 1000}))
 
@@ -413,12 +419,13 @@ from o_app a join (select app_key, cast(sum(input_bytes) as bigint) as i, cast(s
     cast(sum(mem_spill_bytes) as bigint) as ms, cast(sum(shuffle_write_bytes) as bigint) as w
   from o_flags group by app_key) s using (app_key)
 left join (select app_key, count(distinct stage_id) as n from v_task where failed or attempt_id > 0 group by app_key) t
-  using (app_key)""",
+  using (app_key)
+union all select app_key, 0, 0, 0, 0, true, 0, 0, 0, 0, 0 from o_only_plan""",
 )
 def agg_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
     rows = _metrics(spark, sf_dir)
-    summary = apps.app_summary(log, rows).filter("app_id <> 'unknown'")
+    summary = apps.app_summary(log, rows)
     troubled = bottlenecks.failed_or_retried_stages(log.tasks, log.stage_events)
     kpis = bottlenecks.kpis(summary, rows, troubled)
     volumes = ("input_gb", "disk_spill_gb", "mem_spill_gb", "shuffle_write_gb")
@@ -435,7 +442,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = materialize(
         stages.stage_report(table_rows, apps.cluster_capacity(log)), "report"
     )
-    split = intervals.driver_split(table_rows, apps.app_meta(log).filter("app_id <> 'unknown'"))
+    split = intervals.driver_split(table_rows, apps.app_meta(log))
     return bottlenecks.all_findings(report, split)
 
 
@@ -445,10 +452,10 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 select app_key, n_critical, n_attention, greatest(0, 100 - 15 * n_critical - 4 * n_attention) as score
 from (select a.app_key, cast(count(*) filter (where f.severity = 'critical') as bigint) as n_critical,
     cast(count(*) filter (where f.severity = 'attention') as bigint) as n_attention
-  from v_app a left join o_finding f using (app_key) group by 1) t""",
+  from (select app_key from v_app union all select app_key from o_only_plan) a left join o_finding f using (app_key) group by 1) t""",
 )
 def agg_health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = prepared_log(spark, sf_dir).app_events.select("app_key").distinct()
+    meta = prepared_log(spark, sf_dir).apps
     return bottlenecks.health_score(meta, _findings(spark, sf_dir))
 
 
@@ -560,10 +567,11 @@ def win_driver_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     "win_driver_split",
     f"""
 select app_key, duration_ms, executor_time_ms, driver_time_ms, {xs({'driver_pct': 1000})},
-  {sc('100.0e0 - driver_pct')} as executor_pct_x1000 from o_split""",
+  {sc('100.0e0 - driver_pct')} as executor_pct_x1000 from o_split
+union all select app_key, 0, 0, 0, 0, 100000 from o_only_plan""",
 )
 def win_driver_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _split(spark, sf_dir).filter("duration_ms > 0")
+    rows = _split(spark, sf_dir)
     return rows.select(
         "app_key", "duration_ms", "executor_time_ms", "driver_time_ms",
         *x({"driver_pct": 1000, "executor_pct": 1000}),
@@ -794,11 +802,12 @@ def graph_critical_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     "cross_whatif_grid",
     """
 select app_key, pct, greatest(1, peak_executors * pct // 100) as target_executors
-from o_cluster, (select cast(unnest([10, 20, 50, 80, 100, 110, 120, 150, 200, 300, 400, 500]) as bigint) as pct) g""",
+from (select app_key, peak_executors from o_cluster union all select app_key, 0 from o_only_plan) c,
+  (select cast(unnest([10, 20, 50, 80, 100, 110, 120, 150, 200, 300, 400, 500]) as bigint) as pct) g""",
 )
 def cross_whatif_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
-    rows = graph.whatif_sizes(apps.cluster_capacity(log).filter("total_cores > 0"))
+    rows = graph.whatif_sizes(apps.cluster_capacity(log))
     return rows.select("app_key", "pct", "target_executors")
 
 
@@ -816,13 +825,16 @@ from (select c.app_key, cast(p.pct as bigint) as pct, greatest(1, c.peak_executo
     using (app_key)
   join (select app_key, cast(sum(run_ms) as bigint) as run_ms from o_stage group by 1) u using (app_key)
   join (select app_key, cast(sum(greatest(0, end_ms - start_ms)) as bigint) as job_ms from v_job group by 1) j
-    using (app_key)) t""",
+    using (app_key)) t
+union all
+select app_key, cast(unnest([10, 20, 50, 80, 100, 110, 120, 150, 200, 300, 400, 500]) as bigint), 1, 0, 0, 0, 0
+from o_only_plan""",
 )
 def whatif_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
     job_rows = apps.jobs(log)
     rows = graph.whatif_bounds(
-        apps.cluster_capacity(log).filter("total_cores > 0"), job_rows, apps.job_stages(job_rows), _stages(spark, sf_dir)
+        apps.cluster_capacity(log), job_rows, apps.job_stages(job_rows), _stages(spark, sf_dir)
     )
     return rows.select(
         "app_key", "pct", "target_executors", "lower_ms", "upper_ms",

@@ -9,13 +9,14 @@ uses a window, a cross join or a row number.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog import schema as S
-from loomlog.session import fresh_dir
+from loomlog.session import fresh_dir, materialize
 from loomlog.spread import at_least_cores
 from loomlog.sources.events import (
     JobLog,
@@ -315,6 +316,19 @@ def prepared_log(spark: SparkSession, sf_dir: str) -> JobLog:
     return _prepare(spark, sf_dir)[1]
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored_table(
+    spark: SparkSession, sf_dir: str, name: str, make: Callable[[JobLog], DataFrame]
+) -> DataFrame:
+    """A table derived from the ingested log, written beside its facts when first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = materialize(make(prepared_log(spark, sf_dir)), name)
+    return _TABLES[key]
+
+
 def _named(**fields: Column) -> Column:
     return F.struct(*(c.alias(name.replace("_", " ")) for name, c in fields.items()))
 

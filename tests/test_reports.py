@@ -2,6 +2,8 @@
 
 import json
 
+import random
+
 import pytest
 from logs import (
     app_end,
@@ -97,11 +99,32 @@ def test_levels_and_paths(full):
     assert all(r.lower_ms <= r.upper_ms for r in grid.values())
 
 
-def test_cycle_is_refused(spark):
-    nodes = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 1, 3)], "app_key string, job_id long, stage_id long")
-    edges = spark.createDataFrame([("a", 1, 2, 1), ("a", 1, 3, 2), ("a", 1, 2, 3)], "app_key string, job_id long, stage_id long, parent_id long")
-    with pytest.raises(ValueError, match="cycle"):
-        graph.longest_paths(nodes, edges, [], max_rounds=5)
+def test_cycles_keep_rows_without_level(spark):
+    nodes = spark.createDataFrame(
+        [("a", 0, k) for k in range(1, 7)] + [("b", 0, 8), ("b", 0, 9)], "app_key string, job_id int, stage_id int"
+    )
+    # 2 and 3 form a cycle that no root reaches, 6 lies behind it; 4 and 5 a cycle behind root 1.
+    edges = [("a", 0, 2, 3), ("a", 0, 3, 2), ("a", 0, 6, 3), ("a", 0, 4, 1), ("a", 0, 4, 5), ("a", 0, 5, 4), ("b", 0, 9, 8)]
+    edges = spark.createDataFrame(edges, "app_key string, job_id int, stage_id int, parent_id int")
+    rows = graph.longest_paths(nodes, edges, []).collect()
+    found = {(r["app_key"], r["stage_id"]): r["level"] for r in rows}
+    assert len(rows) == 8
+    assert found == {**{("a", k): None for k in range(2, 7)}, ("a", 1): 0, ("b", 8): 0, ("b", 9): 1}
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from loomlog.session import shared_dir
+
+    def session(master, named=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: named), sparkContext=context)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs:///work")) == "hdfs:///work"
 
 
 def test_top_findings(full):
@@ -329,6 +352,28 @@ def test_compact_report(spark):
     assert got[3] == (head + "w" * 6000)[:5000] + "\n\n*(truncated — compact mode)*"
 
 
+def test_half_even_equals_python_at_any_size(spark):
+    chance = random.Random(17)
+    values = []
+    for _ in range(3000):
+        size = 2.0 ** chance.uniform(20, 54)
+        values.append(chance.choice([-1, 1]) * float(f"{size:.4f}"[:-1] + "5"))
+        values.append(float(chance.randrange(2**30)) + chance.choice([0.5, 0.25, 0.125, 0.0625]))
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = rows.select("v", *(half_even("v", d).alias(f"r{d}") for d in range(4))).collect()
+    for row in got:
+        for digits in range(4):
+            assert row[f"r{digits}"] == float(round(row["v"], digits)), (row["v"], digits)
+
+
+def test_whole_division_beyond_doubles(spark):
+    values = [k * 10**6 - 1 for k in (1, 10**9, 10**12, 9 * 10**12)] + [2**63 - 1, 0]
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    from loomlog.functions.scalars import ns_to_ms
+
+    assert {r["v"]: r["ms"] for r in rows.select("v", ns_to_ms("v").alias("ms")).collect()} == {v: v // 10**6 for v in values}
+
+
 def test_half_even_equals_python(spark):
     import random
 
