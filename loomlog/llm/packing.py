@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.tokens import END_ID, encoder, vocabulary_path
+from loomlog.llm.tokens import END_ID, encoder, slices, vocabulary_path
 
 CAPACITY = 1024
 GROUP_DOCS = 1024
@@ -83,7 +83,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], dtype="<u4").tobytes()
         step = 4 * capacity
-        for batch in batches:
+        for batch in slices(batches):
             counts, full, rest = [], [], []
             for ids in encoder(vocabulary).batch(batch.column("text").to_pylist()):
                 ids += end

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm.tokens import slices
+
 MIN_WORDS = 50
 REPEAT_WINDOW = 3
 REPEAT_PERCENT = 50
@@ -114,7 +116,7 @@ def quality(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
 
     def rules(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [measure(text) for text in batch.column("text").to_pylist()]
             if found:
                 columns = [pa.array(list(column)) for column in zip(*found)]

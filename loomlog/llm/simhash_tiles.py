@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm.tokens import slices
 from loomlog.session import materialize
 from loomlog.spread import salted_join
 
@@ -68,7 +69,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = docs.select(_row().alias("row"), text.alias("text"))
 
     def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(text, width) for text in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(found.view(np.int64))], names=["row", "fp"]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.tokens import encoder, vocabulary_path
+from loomlog.llm.tokens import encoder, slices, vocabulary_path
 
 COUNTS = "doc_id long, section long, start_char long, n_chars long, n_tokens long, n_crossing long"
 
@@ -54,7 +54,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, rule: str = "fi
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             row, number, start, chars, tokens, crossing = [], [], [], [], [], []
             for k, (text, (_, a, b)) in enumerate(zip(texts, encoder(vocabulary).spans(texts))):

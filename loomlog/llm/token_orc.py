@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.tokens import END_ID, encoder, vocabulary_path
+from loomlog.llm.tokens import END_ID, encoder, slices, vocabulary_path
 
 STORED = "part long, place long, doc_id long, part_start long, n_tokens long, ids array<int>"
 ORC_OPTIONS = {
@@ -53,7 +53,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, before = TaskContext.get().partitionId(), 0, 0
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             data = [ids + end for ids in encoder(vocabulary).batch(batch.column("text").to_pylist())]
             counts = np.array([len(ids) // 4 for ids in data], dtype=np.int64)
             ends = np.cumsum(counts)

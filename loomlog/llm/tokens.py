@@ -14,16 +14,18 @@ import itertools
 import os
 import re
 import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 # Fixed value: the pattern by which byte-level BPE vocabularies cut text.
 PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 END_ID = 0
-MAX_PIECES = 200_000
-MAX_WORDS = 500_000
+MAX_PIECES = 120_000
+MAX_WORDS = 300_000
 
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
@@ -45,6 +47,13 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """Where the installed vocabulary files lie; every worker has them at the same place."""
     import public_tokenizers

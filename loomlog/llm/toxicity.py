@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm.tokens import slices
 from loomlog.session import materialize
 
 SAMPLE = 20_000
@@ -49,7 +50,7 @@ HEADS = (4, 5)
 CHANCE_FINDS = 0.1
 MIN_HALF = 30
 MAX_TOKEN = 64
-MAX_KEPT = 400_000
+MAX_KEPT = 150_000
 
 # What characters of common substitution alphabets stand for.
 LOOK_ALIKE = {
@@ -77,7 +78,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(KINDS**3, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), dtype="<u4")
                 kinds = _LETTER_KIND[np.minimum(codes, 0xFFFF)]
@@ -287,7 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = np.array([model.score(text) for text in batch.column("text").to_pylist()], dtype=np.float64)
             ids = batch.column("doc_id").to_pylist()
             held = [doc is not None and zlib.crc32(str(doc).encode()) % FOLDS == 0 for doc in ids]
