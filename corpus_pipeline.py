@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import mixing, packing, repetition, simhash_tiles, toxicity
+from loomlog.llm import mixing, packing, repetition, simhash_copies, toxicity
 from loomlog.session import materialize
 
 
@@ -24,8 +24,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    return simhash_tiles.keep_representatives(docs)
+    """One document of each component of near-copies: five words, similarity 0.8."""
+    return simhash_copies.keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

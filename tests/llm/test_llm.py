@@ -24,6 +24,7 @@ from loomlog.llm import (
     packing,
     queries,
     repetition,
+    simhash_copies,
     simhash_tiles,
     token_counts,
     token_orc,
@@ -508,6 +509,68 @@ def test_components_of_a_path(spark):
     assert roots == {**{k: 0 for k in range(1, 201)}, 500: 400, 450: 400}
 
 
+def similarity(a, b):
+    a, b = (set(simhash_copies.shingle_hashes(text).tolist()) for text in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_shingle_hashes():
+    for text in [text or "" for text in messy_texts(20)]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        shingles = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        assert set(simhash_copies.shingle_hashes(text).tolist()) == {xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles}
+
+
+@pytest.mark.parametrize("tile", [8, 2048])
+def test_near_copies(spark, tile):
+    chance = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts, family = [None, "", " \n", "one", "ONE", "one two", "a b c d e f"], [0, 0, 0, 1, 1, 2, 3]
+    for k, (size, copies) in enumerate([(60, 3), (300, 60), (300, 40), (1500, 5)] + [(120, 1)] * 60):
+        base = chance.choices(vocabulary, k=size)
+        for copy in range(copies):
+            words = list(base)
+            for place in range(copy % 2 * size // 120):
+                words[chance.randrange(size)] = f"new{copy}-{place}"
+            texts.append(" ".join(words))
+            family.append(10 + k)
+    docs = messy_docs(spark, texts)
+    kept = simhash_copies.keep_one_of_each(docs, tile=tile)
+    assert kept.columns == docs.columns
+    left = Counter(family[texts.index(r["text"])] for r in kept.collect())
+    assert left == dict.fromkeys(family, 1)
+
+
+def test_near_copies_over_tiles(spark):
+    rng = np.random.default_rng(8)
+    prints, heads = [], rng.integers(0, 2**63, size=(4, simhash_copies.LANES), dtype=np.uint64)
+    for k in range(600):
+        row = heads[[0, 0, 0, 1, 2, 3][k % 6]] if k < 300 else np.frombuffer(prints[k - 300], dtype="<u8")
+        flips = np.zeros(64 * simhash_copies.LANES, dtype=np.uint8)
+        flips[rng.choice(len(flips), size=rng.integers(20, 90), replace=False)] = 1
+        prints.append((row ^ np.packbits(flips).view("<u8")).tobytes())
+    nodes = spark.createDataFrame([(p, [7, 100 + k % 5]) for k, p in enumerate(prints)], "print binary, bands array<long>")
+    found = {bytes(r["node"]): bytes(r["root"]) for r in simhash_copies.roots(nodes, tile=16).collect()}
+    top = plain_components([int.from_bytes(p, "little") for p in prints], simhash_copies.RADIUS)
+    pairs_seen = set(zip([found.get(p, p) for p in prints], top))
+    assert len(pairs_seen) == len({a for a, _ in pairs_seen}) == len(set(top)) > 1
+
+
+def test_sketch_distance_follows_similarity():
+    chance = random.Random(4)
+    base = [f"w{chance.randrange(5000)}" for _ in range(800)]
+    for edits in (0, 5, 15, 17, 60, 400):
+        words = list(base)
+        for place in chance.sample(range(800), edits):
+            words[place] = f"n{place}"
+        a, b = " ".join(base), " ".join(words)
+        near = similarity(a, b)
+        apart = np.bitwise_count(np.frombuffer(simhash_copies.sketch(a)[0], "<u8") ^ np.frombuffer(simhash_copies.sketch(b)[0], "<u8")).sum()
+        assert abs(apart - 512 * math.acos(2 * near / (1 + near)) / math.pi) < 45
+        assert apart <= simhash_copies.RADIUS or near < 0.8
+        assert apart > simhash_copies.RADIUS or near > 0.6
+
+
 # 9: quality
 
 
