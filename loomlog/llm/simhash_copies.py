@@ -1,7 +1,7 @@
 """Near-copies by word shingles, as operator 8 finds them, for a similarity instead of a few bits.
 
 Two texts are near-copies if the sets of their five-word shingles (A-Z lower-cased) overlap by
-``SIMILARITY`` of their union or more. Each text has a SimHash of 512 bits over its set. Sets of
+0.8 of their union or more. Each text has a SimHash of 512 bits over its set. Sets of
 similarity 0.8 differ in 15.1 % of the bits, 77 on average and with a deviation of 8; texts are
 linked at ``RADIUS`` bits or fewer, two deviations above. So a link means an estimated similarity
 of about 0.72 or more, and a pair of 0.8 is missed with a chance of about one in fifty.
@@ -14,8 +14,9 @@ numpy, skipping pairs whose population counts differ beyond the radius.
 A bucket of more than ``tile`` fingerprints is dealt into tiles, with some members in all of
 them. After a first round of components, pairs across tiles matter only where a bucket still
 holds several components, and only if one of the two lies outside its largest: those outside meet
-all tiles in a second round. So no linked pair of a bucket stays apart, no group is squared, and
-every unit of work is bounded.
+all tiles in a second round. So no linked pair of a bucket stays apart, a group of copies of each
+other costs in proportion to its rows, and every unit of work holds about two tiles. A large bucket
+without a main component still costs its tiles times the tiles outside the main one.
 
 Defined cases: a text of fewer words than a shingle is one shingle, and texts without words (null
 ones too) are equal to each other; a null ``doc_id`` sorts after all numbers; of repeated rows one
@@ -37,7 +38,6 @@ from loomlog.session import materialize
 from loomlog.spread import salted_join
 
 WIDTH = 5
-SIMILARITY = 0.8
 LANES = 8
 RADIUS = 94
 BANDS, ROWS = 20, 4
