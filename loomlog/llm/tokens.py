@@ -10,11 +10,10 @@ bytes, so spans are running sums of lengths.
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +23,11 @@ PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 END_ID = 0
-MAX_PIECES = 120_000
-MAX_WORDS = 300_000
+MAX_PIECES = 150_000
+MAX_WORDS = 80_000
 
 _BEFORE_WORD = re.compile(r" (?=\S)")
+_LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 _PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
 
 
@@ -43,8 +43,11 @@ _BYTE_LETTERS = _byte_letters()
 _SPACE = chr(_BYTE_LETTERS[32])
 
 
+_packers = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def _pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _packers[len(ids)](*ids) if len(ids) < len(_packers) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -62,16 +65,44 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class _Table(dict):
-    """Answers of a function, kept by argument."""
+    """Answers of a function by argument, in two generations of about ``limit`` entries.
 
-    def __init__(self, answer) -> None:
+    Asked again, an older answer becomes a young one; ``make_room`` drops the rest of the older
+    ones when the young ones are many. So what is frequent stays.
+    """
+
+    def __init__(self, answer: Callable[[str], bytes], limit: int) -> None:
         super().__init__()
-        self._answer = answer
+        self._answer, self._limit = answer, limit
+        self._older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self[key] = self._answer(key)
+        found = self._older.pop(key, None)
+        if found is None:
+            found = self._answer(key)
+        self[key] = found
         return found
 
+    def make_room(self) -> None:
+        if len(self) > self._limit:
+            self._older = dict(self)
+            self.clear()
+
+
+class _Pieces(_Table):
+    """The same for pieces; a word with points after it is put together and not kept."""
+
+    def __init__(self, answer: Callable[[str], bytes], limit: int, points: _Table) -> None:
+        super().__init__(answer, limit)
+        self._points = points
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[-1] in ".,":
+            word = piece.rstrip(".,")
+            if word.isalpha():
+                return self[word] + self._points[piece[len(word) :]]
+        return super().__missing__(piece)
+
 
 class Encoder:
     """Encodes texts to ids; equal to ``Tokenizer.encode`` without special tokens.
@@ -79,7 +110,7 @@ class Encoder:
     A space before a visible character always starts a pre-token, so a text falls into pieces
     there. A piece of letters and closing points falls further into the word and the points;
     other pieces of common characters are cut by the pattern, and pieces with anything else go to
-    the library whole. A full table drops its older half.
+    the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -91,8 +122,8 @@ class Encoder:
         self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
         self._pretokens = regex.compile(PRETOKEN).findall
-        self._pieces = _Table(self._piece)
-        self._known = _Table(self._merge)
+        self._known = _Table(self._merge, MAX_WORDS)
+        self._pieces = _Pieces(self._piece, MAX_PIECES, self._known)
         special = self._tokenizer.get_added_tokens_decoder()
         size = self._tokenizer.get_vocab_size()
         token = self._tokenizer.id_to_token
@@ -105,8 +136,9 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         found = []
         for text in texts:
-            self._make_room()
-            head, *parts = _BEFORE_WORD.split(text)
+            self._known.make_room()
+            self._pieces.make_room()
+            head, *parts = _BEFORE_WORD.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
             found.append(self._cut(head) + b"".join(map(self._pieces.__getitem__, parts)))
         return found
 
@@ -129,19 +161,9 @@ class Encoder:
             found.append((ids, starts, ends))
         return found
 
-    def _make_room(self) -> None:
-        """Drops the older half of a full table; between texts only."""
-        for table, limit in ((self._pieces, MAX_PIECES), (self._known, MAX_WORDS)):
-            if len(table) > limit:
-                for key in list(itertools.islice(table, limit // 2)):
-                    del table[key]
-
     def _piece(self, piece: str) -> bytes:
         """Ids of a space and ``piece``."""
-        word = piece.rstrip(".,")
-        if word.isalpha():
-            return self._known[" " + word] + (self._known[piece[len(word) :]] if word != piece else b"")
-        return self._cut(" " + piece)
+        return self._merge(" " + piece) if piece.isalpha() else self._cut(" " + piece)
 
     def _cut(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text):
