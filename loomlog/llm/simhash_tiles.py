@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomlog.llm.tokens import slices
 from loomlog.session import materialize
-from loomlog.spread import salted_join
+from loomlog.spread import SALT, salt_count, salted_join
 
 WIDTH = 3
 RADIUS = 2
@@ -209,12 +209,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = salted_join(both, least, ["a"], ["b"], "inner").filter("b > a")
-        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        large = materialize(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = salted_join(large, least, ["a"], ["b"], "inner")
+        large = _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = materialize(large.filter("a != b").distinct(), "large-star")
+        moved = _with_least(large)
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(moved.select("a", F.col("m").alias("b")))
         edges = materialize(small.filter("a != b").distinct(), "small-star")
         before, state = state, _state(edges)
@@ -223,6 +220,20 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``a, b, m``: every edge with the least neighbour of ``a``.
+
+    The edges of a node are dealt to parts by a hash of the neighbour. Its minimum, taken over the
+    minima of the parts, goes back only to parts that hold edges: never more rows than edges.
+    """
+    part = F.pmod(F.xxhash64("b"), F.lit(salt_count(edges.sparkSession))).cast("int")
+    edges = edges.select("a", "b", part.alias(SALT)).repartition("a", SALT)
+    parts = edges.groupBy("a", SALT).agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list(SALT).alias("parts"))
+    least = least.select("a", "m", F.explode("parts").alias(SALT))
+    return edges.join(least, ["a", SALT]).drop(SALT)
+
+
 def _state(edges: DataFrame) -> tuple:
     mixed = F.xxhash64("a", "b")
     both = edges.agg(F.count(F.lit(1)), F.bit_xor(mixed), F.sum((mixed % 1_000_003).cast("long")))
