@@ -503,6 +503,13 @@ def test_links_with_large_buckets(spark):
     assert len(set(zip(found, top))) == len(set(found)) == len(set(top))
 
 
+def test_least_neighbour_of_every_edge(spark):
+    pairs = [(0, b) for b in range(5, 200)] + [(a, a + 1) for a in range(300, 320)] + [(300, 7)]
+    found = simhash_tiles._with_least(spark.createDataFrame(pairs, "a long, b long")).collect()
+    least = {a: min(b for x, b in pairs if x == a) for a, _ in pairs}
+    assert sorted(map(tuple, found)) == sorted((a, b, least[a]) for a, b in pairs)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 400), (400, 450)], "a long, b long")
     roots = {r["node"]: r["root"] for r in simhash_tiles.components(edges).collect()}
