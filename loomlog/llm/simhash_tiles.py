@@ -88,7 +88,10 @@ def _row() -> Column:
 
 
 def link_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of equal ``keys``: from, to. Small runs give their pairs, others stars."""
+    """Links inside runs of equal ``keys``: from, to. Small runs give their pairs, others stars.
+
+    ``fps`` are unsigned, as numpy counts the bits of the absolute value of signed ones.
+    """
     edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     starts = np.concatenate(([0], edges))
     sizes = np.diff(np.concatenate((starts, [len(keys)])))
@@ -183,18 +186,20 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     units = units.repartition("unit").sortWithinPartitions("unit", "fp")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        def linked(keys: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+            sides = [pa.array(side.view(np.int64)) for side in link_runs(keys, held, radius)]
+            return pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+
+        keys, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
         for batch in batches:
             keys = np.concatenate((keys, batch.column("unit").to_numpy()))
-            held = np.concatenate((held, batch.column("fp").to_numpy()))
+            held = np.concatenate((held, batch.column("fp").to_numpy().view(np.uint64)))
             whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if whole:
-                a, b = link_runs(keys[:whole], held[:whole], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield linked(keys[:whole], held[:whole])
                 keys, held = keys[whole:], held[whole:]
         if len(keys):
-            a, b = link_runs(keys, held, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield linked(keys, held)
 
     return units.mapInArrow(compare, "a long, b long").filter("a != b").distinct()
 

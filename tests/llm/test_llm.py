@@ -503,6 +503,22 @@ def test_links_with_large_buckets(spark):
     assert len(set(zip(found, top))) == len(set(found)) == len(set(top))
 
 
+@pytest.mark.parametrize("tile", [2048, 16])
+@pytest.mark.parametrize("family", [2, 5, 40])
+def test_links_of_negative_fingerprints(spark, tile, family):
+    rng = np.random.default_rng(9)
+    prints = {2**63, 2**63 + 1, 2**64 - 1, 2**64 - 4, 1, 0}
+    for centre in rng.integers(0, 2**64, size=400 // family, dtype=np.uint64).tolist():
+        # The high bit and one bit more, both at once or one.
+        prints |= {centre, *(centre ^ (k % 2 or not k) << 63 ^ 1 << int(rng.integers(0, 63)) for k in range(family - 1))}
+    prints = sorted(prints)
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    edges = simhash_tiles.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 2, tile=tile)
+    roots = {r["node"]: r["root"] for r in simhash_tiles.components(edges).collect()}
+    found, top = [roots.get(p, p) for p in signed], plain_components(prints)
+    assert len(set(zip(found, top))) == len(set(found)) == len(set(top))
+
+
 def test_least_neighbour_of_every_edge(spark):
     pairs = [(0, b) for b in range(5, 200)] + [(a, a + 1) for a in range(300, 320)] + [(300, 7)]
     found = simhash_tiles._with_least(spark.createDataFrame(pairs, "a long, b long")).collect()
