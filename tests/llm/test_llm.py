@@ -564,6 +564,35 @@ def test_near_copies(spark, tile):
     assert left == dict.fromkeys(family, 1)
 
 
+@pytest.mark.parametrize("tile", [8, 2048])
+def test_near_copies_equal_brute_force(spark, tile):
+    chance = random.Random(14)
+    frame, texts = [f"t{k}" for k in range(170)], []
+    for k in range(40):  # pages of one template: any two are of similarity 0.6 to 0.75
+        texts.append(" ".join(frame[:85] + [f"p{k}-{j}" for j in range(chance.randrange(18, 30))] + frame[85:]))
+    for k in range(60):  # 4 and 5 shingles, 8 and 10, 12 and 15 with 0.8 exactly
+        words = [f"s{k}-{j}" for j in range((9, 14, 19)[k % 3])]
+        texts += [" ".join(words), " ".join(words[: (8, 12, 16)[k % 3]])]
+    for k in range(30):
+        words = [f"e{k}-{j}" for j in range(200)]
+        texts.append(" ".join(words))
+        for place in chance.sample(range(5, 195), chance.randrange(2, 8)):
+            words[place] = "x"
+        texts.append(" ".join(words))
+    ids = list(range(len(texts)))
+    sets = [set(simhash_copies.shingle_hashes(text).tolist()) for text in texts]
+    parent = list(ids)
+    for a in ids:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
+                parent = [new if p == old else p for p in parent]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in simhash_copies.keep_one_of_each(docs, tile=tile).collect()}
+    assert kept == set(parent) and 40 < len(kept) < len(ids) - 60
+
+
 def test_near_copies_over_tiles(spark):
     rng = np.random.default_rng(8)
     prints, heads = [], rng.integers(0, 2**63, size=(4, simhash_copies.LANES), dtype=np.uint64)
