@@ -6,6 +6,11 @@ character the letters it may stand for, or nothing. Viterbi decoding takes the p
 cost under a character trigram model of the whole corpus plus the channel's costs. Tokens
 without noise have one path only and are their own decoding; decoded tokens are kept per worker.
 
+A look-alike may also be a mere number or punctuation, and a doubled letter is often right. So a token
+has several readings: its plain word, and where any look-alike, doubled letter or separator lets the
+channel in, the decodings of the word and of the token with the look-alikes at its ends. All of them
+count, the strongest feature decides.
+
 The restored text is scored by its words and the first letters of its words. A feature's weight is
 the share of toxic texts among labelled texts that hold it, drawn to the base rate by a prior whose
 strength grows with the number of features tested, so that chance finds stay below one half. The
@@ -23,13 +28,14 @@ and without any label every score is ``NO_EVIDENCE``; other columns are not read
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -49,7 +55,6 @@ STRONGEST = 3
 HEADS = (4, 5)
 CHANCE_FINDS = 0.1
 MIN_HALF = 30
-MAX_TOKEN = 64
 MAX_KEPT = 150_000
 
 # What characters of common substitution alphabets stand for.
@@ -69,6 +74,8 @@ _SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ][^\W_]){2,}(?!\S)")
 _NOISE = re.compile(
     r"(?=.*[^\W\d_])(?=.*(?:[0134567890@$!|+(€£¡]|([^\W\d_])\1\1|[^\W\d_][.\-_*~'`]+[^\W\d_]))", re.DOTALL
 )
+_CHANNEL = re.compile(r"[0134567890@$!|+(€£¡]|([^\W\d_])\1|[^\W\d_][.\-_*~'`]+[^\W\d_]")
+_LOOKS = re.compile(r"[0134567890@$!|+(€£¡]")
 _EDGE = re.compile(r"^[^\w@$€£(|+!¡]+|[^\w@$€£|+!]+$|^[!|+(]{2,}|[@$€£|+!]{2,}$|!+$|^@@+|^\$\$+")
 
 
@@ -110,9 +117,10 @@ def decode(token: str, costs: np.ndarray) -> str:
 
     States are the last two letters read, and whether the last one was repeated just now.
     """
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # A reading is kept as its last letter and the reading before it, so its length costs nothing.
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
-    for char in token[:MAX_TOKEN]:
+    for char in token:
         choices: list[tuple[str, float]] = []
         if char in _KIND and char != " ":
             choices.append((char, 0.0))
@@ -123,29 +131,56 @@ def decode(token: str, costs: np.ndarray) -> str:
             choices.append(("", 4 * SUBSTITUTE_COST))
         else:
             choices.append(("", DROP_COST))
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+        reached: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, read) in best.items():
             for letter, extra in choices:
                 if letter:
                     kind = _KIND[letter]
-                    state, price, longer = (b, kind), cost + extra + float(costs[a, b, kind]), text + letter
+                    state, price = (b, kind), cost + extra + float(costs[a, b, kind])
                 else:
-                    state, price, longer = (a, b), cost + extra, text
+                    state, price = (a, b), cost + extra
                 if state not in reached or price < reached[state][0]:
-                    reached[state] = (price, longer)
+                    reached[state] = (price, (read, letter) if letter else read)
         best, before = reached, char
-    ends = [(cost + float(costs[a, b, 0]), text) for (a, b), (cost, text) in best.items()]
-    return min(ends)[1] + token[MAX_TOKEN:]
+    ends = [(cost + float(costs[a, b, 0]), read) for (a, b), (cost, read) in best.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_spelled(read) for cost, read in ends if cost == least)
 
 
-def restore(token: str, costs: np.ndarray) -> str:
-    """A token as a plain word in lower case."""
-    word, before = token.lower(), ""
+def _spelled(read: tuple | None) -> str:
+    letters = []
+    while read:
+        read, letter = read
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
+def _stripped(token: str) -> str:
+    word, before = token, ""
     while word != before:
         word, before = _EDGE.sub("", word), word
+    return word
+
+
+def restore(token: str, costs: np.ndarray) -> str:
+    """A token as a plain word in lower case."""
+    word = _stripped(token.lower())
     return decode(word, costs) if _NOISE.match(word) or _SPACED.fullmatch(word) else word
 
 
+def readings(token: str, costs: np.ndarray) -> list[str]:
+    """The plain word of a token, and what else the channel may have made it from."""
+    whole = token.lower()
+    word = _stripped(whole)
+    noisy = bool(_NOISE.match(word) or _SPACED.fullmatch(word))
+    found = {decode(word, costs) if noisy else word}
+    if not noisy and _CHANNEL.search(word):
+        found.add(decode(word, costs))
+    if len(_LOOKS.findall(whole)) > len(_LOOKS.findall(word)):
+        found.add(decode(whole, costs))
+    return sorted(found - {""})
+
+
 def features(word: str) -> list[str]:
     return [word, *[f"{word[:n]}-" for n in HEADS if len(word) > n]] if word else []
 
@@ -163,11 +198,12 @@ class Model:
         return {"costs": self.costs, "weights": self.weights, "slopes": self.slopes, "_kept": {}}
 
     def token(self, token: str) -> float:
-        """The weight of the strongest feature of a token's reading."""
+        """The weight of the strongest feature of a token's readings."""
         found = self._kept.get(token)
         if found is None:
             weight = self.weights.get
-            found = max([weight(name, 0.0) for name in features(restore(token, self.costs))], default=0.0)
+            names = (name for word in readings(token, self.costs) for name in features(word))
+            found = max(map(lambda name: weight(name, 0.0), names), default=0.0)
             if len(self._kept) > MAX_KEPT:
                 for key in list(itertools.islice(self._kept, MAX_KEPT // 2)):
                     del self._kept[key]
@@ -200,10 +236,10 @@ def logistic(rows: np.ndarray, truth: np.ndarray, rounds: int = 30, ridge: float
     return np.concatenate((slopes[:1], np.maximum(slopes[1:], 0.0)))
 
 
-def text_features(text: str, costs: np.ndarray) -> set[str]:
-    """All features of the restored text."""
+def text_features(text: str, read: Callable[[str], list[str]]) -> set[str]:
+    """All features of the readings of a text's tokens."""
     tokens = {*text.split(), *_SPACED.findall(text)}
-    return {name for word in {restore(token, costs) for token in tokens} for name in features(word)}
+    return {name for word in {word for token in tokens for word in read(token)} for name in features(word)}
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -239,9 +275,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def counted(part: DataFrame, wanted: frozenset[str] | None) -> dict[str, np.ndarray]:
         def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+            read = functools.lru_cache(MAX_KEPT)(lambda token: readings(token, costs))
             for frame in frames:
                 for text, half in zip(frame["text"], frame["half"]):
-                    names = text_features(text, costs)
+                    names = text_features(text, read)
                     found[half].update(names if wanted is None else names & wanted)
             for half in (0, 1):
                 table = pd.DataFrame({"name": list(found[half]), "half": half, "n": list(found[half].values())})

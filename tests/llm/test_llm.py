@@ -200,6 +200,23 @@ def test_decode_reads_noise():
         assert toxicity.restore(noisy, costs) == plain
 
 
+def letter_costs(text):
+    codes = np.frombuffer(f" {text} ".encode("utf-32-le"), dtype="<u4")
+    kinds = toxicity._LETTER_KIND[codes]
+    three = (kinds[:-2] * 64 + kinds[1:-1]) * 64 + kinds[2:]
+    return toxicity.trigram_costs(np.bincount(three, minlength=64**3))
+
+
+def test_all_noise_of_the_channel_is_read():
+    costs = letter_costs(" ".join(["idiot stupid ass dumbass the moron of and that tion"] * 50))
+    model = toxicity.Model(costs, {"idiot": 0.9, "stupid": 0.8, "ass": 0.7, "dumbass": 0.6, "moron": 0.9})
+    hidden = "m" + "." * 70 + "oron"
+    for noisy, weight in {"stuupid": 0.8, "iiddiioott": 0.9, "455": 0.7, "@$$": 0.7, "a$$": 0.7, "dumba$$": 0.6, "ass": 0.7,
+                          hidden: 0.9, "1d10t!!": 0.9, "2024": 0.0, "the": 0.0}.items():
+        assert model.token(noisy) == weight, noisy
+    assert toxicity.decode("x" + "a0" * 20_000, costs).startswith("x")
+
+
 def test_decode_takes_the_cheapest_path():
     rng = np.random.default_rng(3)
     costs = rng.random((64, 64, 64)).astype(np.float32) * 3
