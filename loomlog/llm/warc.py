@@ -6,6 +6,9 @@ of gzip members. A record must have a version line, headers, its full block, the
 lines, and the block digest it names. Where that fails the reader searches for the next version
 line or member that holds a valid record, goes on from there, and reports the bytes between as a
 row of kind ``gap`` with the reason. The bytes of a file are its records and its gaps, nothing else.
+Inside a gzip member the search is the same, also in what inflates before the member's damage: records
+and gaps there carry the place of the member, and the reason of a gap names its bytes of the content.
+Digests are hexadecimal or base32.
 
 Defined cases: a null html is an empty payload, a null url an empty target; a null ``page_id``
 is written as an empty field and read back as null, and counts as the smallest; repeated rows
@@ -15,6 +18,8 @@ table gives no records; other columns are not read.
 
 from __future__ import annotations
 
+import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -140,44 +145,83 @@ def _record(data: bytes, start: int) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("block does not end where its length says")
     block = data[begin:stop]
     digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha1:") and hashlib.sha1(block).hexdigest() != digest[5:].lower():
+    if digest.startswith("sha1:") and hashlib.sha1(block).hexdigest() != _hex(digest[5:]):
         raise Damaged("block digest differs")
     return headers, block, stop + 4
 
 
-def _member(data: bytes, start: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``start``."""
+def _hex(digest: str) -> str:
+    """A SHA-1 digest in hexadecimal, given so or in base32."""
+    if re.fullmatch("[A-Za-z2-7]{32}", digest):
+        return base64.b32decode(digest.upper()).hex()
+    return digest.lower()
+
+
+def _member(data: bytes, start: int) -> tuple[bytes, int, str | None]:
+    """Content and end of the gzip member at ``start``, and what is wrong after that content."""
     inflate, parts, place = zlib.decompressobj(wbits=31), [], start
     while not inflate.eof:
         if place >= len(data):
-            raise Damaged("member is cut off")
+            return b"".join(parts), place, "member is cut off"
+        before = inflate.copy()
         try:
             parts.append(inflate.decompress(data[place : place + _INFLATE_STEP]))
-        except zlib.error as error:
-            raise Damaged("member does not inflate") from error
+        except zlib.error:
+            # The step gave nothing back, so its good bytes are inflated one at a time.
+            with contextlib.suppress(zlib.error):
+                for at in range(place, place + _INFLATE_STEP):
+                    parts.append(before.decompress(data[at : at + 1]))
+            return b"".join(parts), place, "member does not inflate"
         place = min(place + _INFLATE_STEP, len(data))
-    return b"".join(parts), place - len(inflate.unused_data)
+    return b"".join(parts), place - len(inflate.unused_data), None
+
+
+def _inside(content: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
+    """The same as ``salvage`` for the content of a member, by places in the content."""
+    place, gap, reason = 0, None, None
+    while place < len(content):
+        try:
+            headers, block, stop = _record(content, place)
+        except Damaged as error:
+            if gap is None:
+                gap, reason = place, str(error)
+            later = _VERSION.search(content, place + 1)
+            place = later.start() if later else len(content)
+            continue
+        if gap is not None:
+            yield gap, place, None, b"", reason
+            gap = None
+        yield place, stop, headers, block, None
+        place = stop
+    if gap is not None:
+        yield gap, len(content), None, b"", reason
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
     """``(start, stop, headers, block, reason)`` of all records, and of the gaps between them.
 
-    A gap has no headers; its reason is the check that failed at its first byte. Records inside a
-    gzip member carry the place of the member.
+    A gap has no headers; its reason is the check that failed at its first byte. Records and gaps
+    inside a gzip member carry the place of the member, which ends, if damaged, where the search
+    goes on.
     """
     place, gap, reason = 0, None, None
     while place < len(data):
         found = []
         try:
             if data[place : place + 3] == b"\x1f\x8b\x08":
-                content, stop = _member(data, place)
-                inner = 0
-                while inner < len(content):
-                    headers, block, inner = _record(content, inner)
-                    found.append((headers, block))
+                content, stop, wrong = _member(data, place)
+                for start, end, headers, block, why in _inside(content):
+                    found.append((headers, block, why and f"{why}, bytes {start} to {end} of the member"))
+                # A damaged member in which one record begins is a gap as a whole, not a valid record.
+                if not any(headers for headers, _, _ in found) or wrong and len(_VERSION.findall(content)) == 1:
+                    raise Damaged(wrong or (found[0][2] if found else "member is empty"))
+                if wrong:
+                    later = _NEXT.search(data, place + 1)
+                    stop = later.start() if later else len(data)
+                    found.append((None, b"", f"{wrong}, after {len(content)} bytes of the member"))
             else:
                 headers, block, stop = _record(data, place)
-                found.append((headers, block))
+                found.append((headers, block, None))
         except Damaged as error:
             if gap is None:
                 gap, reason = place, str(error)
@@ -187,8 +231,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         if gap is not None:
             yield gap, place, None, b"", reason
             gap = None
-        for headers, block in found:
-            yield place, stop, headers, block, None
+        for headers, block, why in found:
+            yield place, stop, headers, block, why
         place = stop
     if gap is not None:
         yield gap, len(data), None, b"", reason
@@ -215,7 +259,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                     revisit = headers.get("warc-type") == "revisit"
                     payload = block.partition(_HEADERS_END)[2]
                     size = headers.get("warc-payload-length", "") if revisit else str(len(payload))
-                    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+                    digest = _hex(headers.get("warc-payload-digest", "").removeprefix("sha1:"))
                     if not revisit:
                         digest = hashlib.sha1(payload).hexdigest()
                     rows.append(

@@ -1,5 +1,6 @@
 """Each operator against a plain version, on messy rows."""
 
+import base64
 import gzip
 import hashlib
 import importlib.util
@@ -393,6 +394,35 @@ def test_salvage_after_damage():
         assert all(reason for _, _, h, _, reason in found if h is None)
 
 
+def test_salvage_inside_members():
+    def record(n, base32=False):
+        block = f"HTTP/1.1 200 OK\r\n\r\npage {n} ".encode() + random.Random(n).randbytes(3000)
+        digest = hashlib.sha1(block)
+        name = base64.b32encode(digest.digest()).decode() if base32 else digest.hexdigest()
+        return (f"WARC/1.1\r\nWARC-Record-ID: <urn:page:{n}>\r\nWARC-Block-Digest: sha1:{name}\r\n"
+                f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    whole = [record(n) for n in range(8)]
+    flipped = whole[2].replace(b"page 2", b"page X", 1)
+    five = b"".join([*whole[:2], flipped, *whole[3:5]])
+    broken = bytearray(gzip.compress(b"".join(whole[:5])))
+    broken[-3000:-2900] = b"\xff" * 100
+    for parts, good in (
+        ([gzip.compress(five), whole[5]], [0, 1, 3, 4, 5]),
+        ([gzip.compress(b"junk" + whole[0]), gzip.compress(flipped), gzip.compress(b""), gzip.compress(whole[6])], [0, 6]),
+        ([gzip.compress(b"".join(whole[:5]))[:-2000]], [0, 1, 2, 3]),
+        ([gzip.compress(b"".join(whole[:5]))[:-2000], gzip.compress(whole[7])], [0, 1, 2, 3, 7]),
+        ([b"junk", bytes(broken), whole[6]], [0, 1, 2, 3, 6]),
+        ([record(0, True), gzip.compress(record(1, True)), record(2, True).replace(b"page 2", b"page X", 1)], [0, 1]),
+    ):
+        data = b"".join(parts)
+        found = list(warc.salvage(data))
+        assert [warc._page(h["warc-record-id"]) for _, _, h, _, _ in found if h is not None] == good
+        spans = sorted({(a, b) for a, b, _, _, _ in found})
+        assert [a for a, _ in spans] + [len(data)] == [0] + [b for _, b in spans]
+        assert any(h is None for _, _, h, _, _ in found) and all(reason for _, _, h, _, reason in found if h is None)
+
+
 # 6: token files
 
 
