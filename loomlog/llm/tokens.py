@@ -105,7 +105,8 @@ class _Pieces(_Table):
 
 
 class Encoder:
-    """Encodes texts to ids; equal to ``Tokenizer.encode`` without special tokens.
+    """Encodes texts to ids; equal to ``Tokenizer.encode`` without special tokens, where
+    ``encode_special_tokens`` is set: an added token's string in a text is text.
 
     A space before a visible character always starts a pre-token, so a text falls into pieces
     there. A piece of letters and closing points falls further into the word and the points;
