@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from loomlog.llm import (
     chat,
     fingerprints,
+    hard_negatives,
+    line_runs,
     mixing,
     packing,
+    periodic,
     repetition,
     simhash_tiles,
     token_counts,
@@ -85,6 +88,21 @@ def simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def strassen_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.whole_rows(_table(spark, sf_dir, "embeddings"), moved, "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+def periodic_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = periodic.with_planted_runs(_table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.find_runs(edited))
+
+
+def levelled_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digests(line_runs.drop_common_lines(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_chat_format": chat_format,
     "op2_poisson_mix": mix_sources,
@@ -96,9 +114,14 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_dedup": simhash_near_dedup,
     "op9_repetition_quality": repetition_quality,
     "op10_fingerprints": simhash_fingerprints,
+    "op11_hard_negatives": strassen_hard_negatives,
+    "op12_periodic_runs": periodic_word_runs,
+    "op13_line_dedup": levelled_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op13_line_dedup": line_runs.ORACLE,
     "op2_poisson_mix": f"""
         with rows as (
           select *, coalesce('s' || source, 'n') as src, coalesce(text, '') as body,
