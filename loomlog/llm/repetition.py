@@ -19,7 +19,6 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,8 +127,8 @@ def quality(docs: DataFrame) -> DataFrame:
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text the rules keep."""
 
-    @F.pandas_udf("boolean")
-    def kept(texts: pd.Series) -> pd.Series:
-        return pd.Series([measure(text or "")[-1] for text in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def kept(texts: pa.Array) -> pa.Array:
+        return pa.array([measure(text.as_py() or "")[-1] for text in texts], pa.bool_())
 
     return docs.filter(kept(F.col("text")))

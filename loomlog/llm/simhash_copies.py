@@ -48,7 +48,7 @@ LANES = 8
 RADIUS = 128
 BANDS, ROWS = 20, 4
 PIVOTS = 32
-SET_BYTES = 1 << 24
+SET_BYTES = 1 << 22
 SKETCH = "row struct<unnumbered boolean, doc_id long, text_hash long>, print binary, bands array<long>, shingles binary"
 
 _CHUNK = 4080

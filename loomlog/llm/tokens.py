@@ -23,8 +23,10 @@ PRETOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 END_ID = 0
-MAX_PIECES = 150_000
-MAX_WORDS = 80_000
+#: Bytes of answers in each of a table's two generations, an entry's own bytes, and the longest key.
+PIECES_BYTES, WORDS_BYTES = 24 << 20, 8 << 20
+ENTRY_BYTES = 150
+LONGEST_KEPT = 64
 
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
@@ -65,51 +67,56 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class _Table(dict):
-    """Answers of a function by argument, in two generations of about ``limit`` entries.
+    """Answers of a function by argument, in two generations of about ``limit`` bytes.
 
     Asked again, an older answer becomes a young one; ``make_room`` drops the rest of the older
-    ones when the young ones are many. So what is frequent stays.
+    ones when the young ones are many. So what is frequent stays. Long arguments are not kept.
     """
 
     def __init__(self, answer: Callable[[str], bytes], limit: int) -> None:
         super().__init__()
-        self._answer, self._limit = answer, limit
+        self._answer, self._limit, self._bytes = answer, limit, 0
         self._older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
         found = self._older.pop(key, None)
         if found is None:
             found = self._answer(key)
+            if len(key) > LONGEST_KEPT:
+                return found
         self[key] = found
+        self._bytes += len(key) + len(found) + ENTRY_BYTES
         return found
 
     def make_room(self) -> None:
-        if len(self) > self._limit:
-            self._older = dict(self)
+        if self._bytes > self._limit:
+            self._older, self._bytes = dict(self), 0
             self.clear()
 
 
 class _Pieces(_Table):
-    """The same for pieces; a word with points after it is put together and not kept."""
+    """The same for pieces; words with points after them and pieces over a line's end, which
+    hardly repeat, are put together and not kept."""
 
-    def __init__(self, answer: Callable[[str], bytes], limit: int, points: _Table) -> None:
+    def __init__(self, answer: Callable[[str], bytes], limit: int, points: _Table, cut: Callable[[str], bytes]) -> None:
         super().__init__(answer, limit)
-        self._points = points
+        self._points, self._cut = points, cut
 
     def __missing__(self, piece: str) -> bytes:
         if piece[-1] in ".,":
             word = piece.rstrip(".,")
             if word.isalpha():
                 return self[word] + self._points[piece[len(word) :]]
-        return super().__missing__(piece)
+        return self._cut(" " + piece) if "\n" in piece else super().__missing__(piece)
 
 
 class Encoder:
-    """Encodes texts to ids; equal to ``Tokenizer.encode`` without special tokens, where
-    ``encode_special_tokens`` is set: an added token's string in a text is text.
+    """Encodes texts to ids; equal to ``Tokenizer.encode`` of the file as loaded, with
+    ``add_special_tokens=False``.
 
-    A space before a visible character always starts a pre-token, so a text falls into pieces
-    there. A piece of letters and closing points falls further into the word and the points;
+    A text is first cut at the strings of added tokens, which get their ids; each part is encoded
+    on its own. A space before a visible character always starts a pre-token, so a part falls into
+    pieces there. A piece of letters and closing points falls further into the word and the points;
     other pieces of common characters are cut by the pattern, and pieces with anything else go to
     the library whole.
     """
@@ -120,12 +127,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._model = self._tokenizer.model
+        self._merged = self._tokenizer.model.tokenize
         self._pretokens = regex.compile(PRETOKEN).findall
-        self._known = _Table(self._merge, MAX_WORDS)
-        self._pieces = _Pieces(self._piece, MAX_PIECES, self._known)
+        self._known = _Table(self._merge, WORDS_BYTES)
+        self._pieces = _Pieces(self._piece, PIECES_BYTES, self._known, self._cut)
         special = self._tokenizer.get_added_tokens_decoder()
+        self._added = {token.content: _pack([i]) for i, token in special.items()}
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._cut_added = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if special else None
         size = self._tokenizer.get_vocab_size()
         token = self._tokenizer.id_to_token
         self.token_bytes = np.array(
@@ -139,10 +148,17 @@ class Encoder:
         for text in texts:
             self._known.make_room()
             self._pieces.make_room()
-            head, *parts = _BEFORE_WORD.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
-            found.append(self._cut(head) + b"".join(map(self._pieces.__getitem__, parts)))
+            if self._cut_added and self._cut_added.search(text):
+                parts = self._cut_added.split(text)
+                found.append(b"".join(self._added[p] if k % 2 else self._part(p) for k, p in enumerate(parts)))
+            else:
+                found.append(self._part(text))
         return found
 
+    def _part(self, text: str) -> bytes:
+        head, *parts = _BEFORE_WORD.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
+        return self._cut(head) + b"".join(map(self._pieces.__getitem__, parts))
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(data, dtype="<u4") for data in self.batch(texts)]
 
@@ -162,21 +178,22 @@ class Encoder:
             found.append((ids, starts, ends))
         return found
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a space and ``piece``."""
-        return self._merge(" " + piece) if piece.isalpha() else self._cut(" " + piece)
-
     def _cut(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text):
             return b"".join(map(self._known.__getitem__, self._pretokens(text)))
         return _pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a space and ``piece``."""
+        if not piece.isalpha():
+            return self._cut(" " + piece)
+        letters = _SPACE + piece if piece.isascii() else (" " + piece).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return _pack([token.id for token in self._merged(letters)])
+
     def _merge(self, pretoken: str) -> bytes:
         if pretoken[0] == " " and pretoken.isascii() and pretoken[1:].isalpha():
-            letters = _SPACE + pretoken[1:]
-        else:
-            letters = pretoken.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return _pack([token.id for token in self._model.tokenize(letters)])
+            return self._pieces[pretoken[1:]]
+        return _pack([token.id for token in self._merged(pretoken.encode().decode("latin-1").translate(_BYTE_LETTERS))])
 
 
 @functools.lru_cache(maxsize=2)

@@ -23,16 +23,17 @@ language model counts every text.
 Defined cases: a null text counts as empty, and a text without features scores ``NO_EVIDENCE``; a
 null ``doc_id`` or ``toxic`` is no label, and an unlabelled row is scored like others; of repeated
 labels the row is toxic if one says so; repeated rows are scored each; empty tables give no rows,
-and without any label every score is ``NO_EVIDENCE``; other columns are not read.
+and without any label every score is ``NO_EVIDENCE``; with fewer than ``MIN_HALF`` labelled rows of a class in a
+half there is no logistic step and a text scores by its strongest feature; a text and a token of any
+length are read whole, in linear time; other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
-import itertools
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -55,7 +56,9 @@ STRONGEST = 3
 HEADS = (4, 5)
 CHANCE_FINDS = 0.1
 MIN_HALF = 30
-MAX_KEPT = 150_000
+#: Bytes of kept token weights in each of two generations, an entry's own bytes, the longest key.
+KEPT_BYTES, ENTRY_BYTES, LONGEST_KEPT = 20 << 20, 130, 64
+READ_TOKENS = 50_000
 
 # What characters of common substitution alphabets stand for.
 LOOK_ALIKE = {
@@ -76,7 +79,10 @@ _NOISE = re.compile(
 )
 _CHANNEL = re.compile(r"[0134567890@$!|+(€£¡]|([^\W\d_])\1|[^\W\d_][.\-_*~'`]+[^\W\d_]")
 _LOOKS = re.compile(r"[0134567890@$!|+(€£¡]")
-_EDGE = re.compile(r"^[^\w@$€£(|+!¡]+|[^\w@$€£|+!]+$|^[!|+(]{2,}|[@$€£|+!]{2,}$|!+$|^@@+|^\$\$+")
+_DOUBLED = re.compile(r"(.)\1")
+# What goes at the ends of a token: at the start runs of one kind, at the end runs of another.
+_FROM_START = re.compile(r"[^\w@$€£(|+!¡]+|[!|+(]{2,}|@@+|\$\$+")
+_END_SIGNS = frozenset("@$€£|+!")
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -155,11 +161,46 @@ def _spelled(read: tuple | None) -> str:
     return "".join(reversed(letters))
 
 
+def _plain_end(char: str) -> bool:
+    return not (char.isalnum() or char == "_" or char in _END_SIGNS)
+
+
 def _stripped(token: str) -> str:
-    word, before = token, ""
-    while word != before:
-        word, before = _EDGE.sub("", word), word
-    return word
+    """A token without what stands around its word, by walking in from both ends.
+
+    A round takes one run at the start and one at the end; the walk never looks at a character
+    of a run twice but for the one it stops at.
+    """
+    low, high = 0, len(token)
+    while low < high:
+        at = low
+        run = _FROM_START.match(token, low, high)
+        end = high
+        if _plain_end(token[high - 1]):
+            while end > low and _plain_end(token[end - 1]):
+                end -= 1
+        else:
+            while end > low and token[end - 1] in _END_SIGNS:
+                end -= 1
+            if high - end == 1 and token[end] != "!":
+                end = high
+        if end == low and not (run and token[low] in "!|+("):
+            return ""
+        if run:
+            at = run.end()
+            if at > end:  # both runs hold the characters between: the start's goes first
+                at, end = _meeting(token, at, high)
+        if (at, end) == (low, high):
+            break
+        low, high = at, end
+    return token[low:high]
+
+
+def _meeting(token: str, at: int, high: int) -> tuple[int, int]:
+    """Where the end's run starts if the start's run reaches into it."""
+    rest = token[at:high]
+    gone = not rest or _plain_end(rest[0]) or len(rest) > 1 or rest[0] == "!"
+    return at, at if gone else high
 
 
 def restore(token: str, costs: np.ndarray) -> str:
@@ -171,6 +212,9 @@ def restore(token: str, costs: np.ndarray) -> str:
 def readings(token: str, costs: np.ndarray) -> list[str]:
     """The plain word of a token, and what else the channel may have made it from."""
     whole = token.lower()
+    plain = whole.rstrip(".,")
+    if plain.isalpha() and not _DOUBLED.search(plain):
+        return [plain]  # neither noise nor look-alikes, and only points around it
     word = _stripped(whole)
     noisy = bool(_NOISE.match(word) or _SPACED.fullmatch(word))
     found = {decode(word, costs) if noisy else word}
@@ -185,6 +229,35 @@ def features(word: str) -> list[str]:
     return [word, *[f"{word[:n]}-" for n in HEADS if len(word) > n]] if word else []
 
 
+class _Weights(dict):
+    """Weights of tokens, in two generations of about ``KEPT_BYTES``; frequent ones stay, long ones
+    are not kept."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._bytes, self._older = 0, {}
+
+    def add(self, token: str, ask: Callable[[str], float]) -> float:
+        found = self._older.pop(token, None)
+        if found is None:
+            found = ask(token)
+        if len(token) <= LONGEST_KEPT:
+            self[token] = found
+            self._bytes += 2 * len(token) + ENTRY_BYTES
+        return found
+
+    def make_room(self) -> None:
+        if self._bytes > KEPT_BYTES:
+            self._older, self._bytes = dict(self), 0
+            self.clear()
+
+
+@functools.lru_cache(maxsize=1)
+def _weights_of(model: str) -> _Weights:
+    """The table of a model in this Python worker; it outlives the task."""
+    return _Weights()
+
+
 @dataclass
 class Model:
     """What scoring needs: costs of letter trigrams and weights of features."""
@@ -192,28 +265,25 @@ class Model:
     costs: np.ndarray
     weights: dict[str, float]
     slopes: np.ndarray | None = None
-    _kept: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def __getstate__(self) -> dict:
-        return {"costs": self.costs, "weights": self.weights, "slopes": self.slopes, "_kept": {}}
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def token(self, token: str) -> float:
         """The weight of the strongest feature of a token's readings."""
-        found = self._kept.get(token)
-        if found is None:
-            weight = self.weights.get
-            names = (name for word in readings(token, self.costs) for name in features(word))
-            found = max(map(lambda name: weight(name, 0.0), names), default=0.0)
-            if len(self._kept) > MAX_KEPT:
-                for key in list(itertools.islice(self._kept, MAX_KEPT // 2)):
-                    del self._kept[key]
-            self._kept[token] = found
-        return found
+        weight = self.weights.get
+        return max([weight(name, 0.0) for word in readings(token, self.costs) for name in features(word)], default=0.0)
 
     def evidence(self, text: str) -> list[float]:
         """The weights of the strongest different tokens, descending."""
-        tokens = {*text.split(), *_SPACED.findall(text)}
-        return heapq.nlargest(STRONGEST, itertools.chain(map(self.token, tokens), [0.0] * STRONGEST))
+        kept = _weights_of(self.name)
+        kept.make_room()
+        found = [0.0] * STRONGEST
+        for token in {*text.split(), *_SPACED.findall(text)}:
+            weight = kept.get(token)
+            if weight is None:
+                weight = kept.add(token, self.token)
+            if weight:
+                found.append(weight)
+        return sorted(found, reverse=True)[:STRONGEST]
 
     def score(self, text: str) -> float:
         found = self.evidence(text)
@@ -275,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def counted(part: DataFrame, wanted: frozenset[str] | None) -> dict[str, np.ndarray]:
         def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-            read = functools.lru_cache(MAX_KEPT)(lambda token: readings(token, costs))
+            read = functools.lru_cache(READ_TOKENS)(lambda token: readings(token, costs))
             for frame in frames:
                 for text, half in zip(frame["text"], frame["half"]):
                     names = text_features(text, read)
@@ -340,8 +410,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, that the model does not call toxic."""
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(text or "") < 0.5 for text in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([model.score(text.as_py() or "") < 0.5 for text in texts], pa.bool_())
 
     return docs.filter(clean(F.col("text")))

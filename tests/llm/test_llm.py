@@ -10,6 +10,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -43,9 +44,7 @@ WORDS = "the of and ation blent Ströme été corazón x1 don't a,b 中文 😀
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(tokens.vocabulary_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(tokens.vocabulary_path())
 
 
 def messy_texts(n=60, seed=5):
@@ -98,11 +97,19 @@ def test_encoder_equals_the_library(tokenizer):
 
 
 def test_encoder_tables_stay_bounded(tokenizer, monkeypatch):
-    monkeypatch.setattr(tokens, "MAX_PIECES", 20)
-    monkeypatch.setattr(tokens, "MAX_WORDS", 10)
+    monkeypatch.setattr(tokens, "PIECES_BYTES", 4000)
+    monkeypatch.setattr(tokens, "WORDS_BYTES", 2000)
     encoder = tokens.Encoder(tokens.vocabulary_path())
-    for text in [t for t in messy_texts() if t][:50]:
+    for text in [t for t in messy_texts() if t][:50] + ["x" * 3000 + " " + "y" * 3000]:
         assert encoder.batch([text]) == [id_bytes(tokenizer, text, end=False)]
+    assert sum(map(len, encoder._pieces)) < 4000 and not any(len(key) > tokens.LONGEST_KEPT for key in encoder._pieces)
+
+
+def test_added_tokens_get_their_ids(tokenizer):
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    assert encoder.ids(["a<|endoftext|>b"])[0].tolist() == [64, 50256, 65]
+    texts = ["<|endoftext|>", "<|endoftext|><|endoftext|> a", " x <|endoftext|> y", "<|endoftext|", "\n<|endoftext|>\n"]
+    assert encoder.batch(texts) == [id_bytes(tokenizer, text, end=False) for text in texts]
 
 
 # 1: chat
@@ -218,6 +225,33 @@ def test_all_noise_of_the_channel_is_read():
     assert toxicity.decode("x" + "a0" * 20_000, costs).startswith("x")
 
 
+def edges_by_rule(token):
+    """One pattern after the other until nothing changes."""
+    edge = re.compile(r"^[^\w@$€£(|+!¡]+|[^\w@$€£|+!]+$|^[!|+(]{2,}|[@$€£|+!]{2,}$|!+$|^@@+|^\$\$+")
+    word, before = token, ""
+    while word != before:
+        word, before = edge.sub("", word), word
+    return word
+
+
+def test_ends_are_stripped_in_linear_time():
+    chance = random.Random(12)
+    for _ in range(20_000):
+        token = "".join(chance.choices("aé1_.-(|+!@$€£¡*,~'`&", k=chance.randrange(1, 10)))
+        assert toxicity._stripped(token) == edges_by_rule(token), token
+    costs = np.ones((toxicity.KINDS,) * 3, dtype=np.float32)
+    began = time.time()
+    for token in ("a" + "-" * 10**6 + "a", "!!-" * 300_000 + "a", "a" + "-!!" * 300_000, "ab4" * 100_000):
+        assert toxicity.readings(token, costs)
+    assert time.time() - began < 40
+
+
+def test_plain_tokens_have_one_reading():
+    costs = letter_costs("the quick brown fox and a lazy dog")
+    for token in ("word", "Word.", "été,", "the.,.", "straße"):
+        assert toxicity.readings(token, costs) == [token.lower().rstrip(".,")]
+
+
 def test_decode_takes_the_cheapest_path():
     rng = np.random.default_rng(3)
     costs = rng.random((64, 64, 64)).astype(np.float32) * 3
@@ -780,7 +814,7 @@ def test_near_fingerprints(spark):
 
 def test_queries_are_registered():
     assert sorted(queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)", n)[1]))[0] == "op1_chat_format"
-    assert len(queries.QUERIES) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert len(queries.QUERIES) == 13 and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
 def test_pipeline_stages_equal_plain_selection(spark, tmp_path):
