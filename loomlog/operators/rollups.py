@@ -18,7 +18,8 @@ from loomlog.functions.scalars import (
 )
 from loomlog.operators.attempts import KEYS
 from loomlog.operators.ranks import p95, rank_select, upper_median
-from loomlog.spread import SALT, bounded_lists, salted_join
+from loomlog.operators.numbering import list_parts
+from loomlog.spread import SALT, salted_join
 
 # output column -> summed task column, for both stage views
 COMMON_SUMS = {
@@ -290,11 +291,10 @@ def tasks_on_hosts(tasks: DataFrame, executor_events: DataFrame) -> DataFrame:
     ).withColumn("host", host_of_task("host", "executor_host")).drop("executor_host")
 
 
-def host_rollup(marked: DataFrame, executor_events: DataFrame) -> DataFrame:
-    """Per host over not-stale good tasks, also those a later attempt replaced.
+def _placed(marked: DataFrame, executor_events: DataFrame) -> DataFrame:
+    """Not-stale good tasks folded per (host, executor), also those a later attempt replaced.
 
-    Tasks are first folded per (host as logged, executor), so that the host lookup joins
-    executors, not tasks.
+    The fold is by the host as logged, so that the host lookup joins executors, not tasks.
     """
     folded = (
         marked.filter("counted_on_host")
@@ -310,11 +310,16 @@ def host_rollup(marked: DataFrame, executor_events: DataFrame) -> DataFrame:
             F.sum("disk_spill_bytes").alias("disk_spill_bytes"),
         )
     )
-    placed = (
+    return (
         folded.join(first_hosts(executor_events), ["app_key", "executor_id"], "left")
         .withColumn("host", host_of_task("host", "executor_host"))
         .drop("executor_host")
     )
+
+
+def host_rollup(marked: DataFrame, executor_events: DataFrame) -> DataFrame:
+    """Totals per host; ``n_executors`` counts its different executors."""
+    placed = _placed(marked, executor_events)
     sums = (
         "tasks",
         "run_ms",
@@ -328,9 +333,15 @@ def host_rollup(marked: DataFrame, executor_events: DataFrame) -> DataFrame:
         *(F.sum(c).alias(c) for c in sums), F.max("max_task_ms").alias("max_task_ms")
     )
     pairs = placed.select("app_key", "host", "executor_id").distinct()
-    executors = bounded_lists(pairs, ["app_key", "host"], F.col("executor_id"), "executor_ids")
-    return totals.join(executors, ["app_key", "host"], "left").select(
+    counts = pairs.groupBy("app_key", "host").agg(F.count(F.lit(1)).alias("n_executors"))
+    return totals.join(counts, ["app_key", "host"], "left").select(
         "*",
         whole_div("run_ms", "tasks").alias("avg_task_ms"),
         safe_pct("gc_ms", "run_ms").alias("gc_pct"),
     )
+
+
+def host_executors(marked: DataFrame, executor_events: DataFrame) -> DataFrame:
+    """``app_key, host, part, executor_ids``: sorted executors per host, in parts of bounded length."""
+    pairs = _placed(marked, executor_events).select("app_key", "host", "executor_id").distinct()
+    return list_parts(pairs, ["app_key", "host"], ["executor_id"], "executor_id", "executor_ids")

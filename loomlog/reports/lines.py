@@ -1,8 +1,9 @@
 """The human-readable report of each application, as a table of lines.
 
 Lines carry a sort position ``(section, item, item_key, line_no)``; the table needs no
-gathering and holds reports of any length. ``report_documents`` folds it into one text per
-application.
+gathering and holds reports of any length. A line that lists the members of a group may be as long
+as its application, so a line may come in several pieces. ``report_documents`` folds them into
+texts in chunks.
 """
 
 from __future__ import annotations
@@ -24,18 +25,17 @@ from loomlog.functions.scalars import (
 )
 from loomlog.operators.groups import (
     anomaly_summary,
-    group_anomaly_lists,
+    first_anomalies,
     group_stage_ids,
     repeated_groups,
     solo_stages,
     stage_groups,
 )
 from loomlog.operators.rollups import executor_outliers
-from loomlog.spread import bounded_lists
+from loomlog.operators.numbering import PART_ITEMS, list_parts, text_chunks
 
-POSITION = ["section", "item", "item_key", "line_no"]
+POSITION = ["section", "item", "item_key", "line_no", "piece"]
 SHOWN_ANOMALIES = 10
-DOCUMENT_LINES = 200_000
 COMPACT_CHARS = 5000
 COMPACT_HEAD = 3000
 
@@ -103,9 +103,23 @@ def _array_lines(
         (F.lit(0) if item is None else item).cast("bigint").alias("item"),
         (F.lit("") if item_key is None else item_key).alias("item_key"),
         F.posexplode(array).alias("line_no", "text"),
+        F.lit(0).cast("bigint").alias("piece"),
     ).filter(F.col("text").isNotNull())
 
 
+def _pieces(rows: DataFrame, section: int, text: Column, item: Column, item_key: Column | None = None) -> DataFrame:
+    """Line 0 of an item in pieces, one for each row, in the order of ``part``."""
+    return rows.select(
+        "app_key",
+        F.lit(section).alias("section"),
+        item.cast("bigint").alias("item"),
+        (F.lit("") if item_key is None else item_key).alias("item_key"),
+        F.lit(0).alias("line_no"),
+        text.alias("text"),
+        F.col("part").alias("piece"),
+    )
+
+
 def _heading(rows: DataFrame, section: int, texts: tuple[str, ...]) -> DataFrame:
     """A section heading for every application that has rows in it."""
     return _lines(rows.select("app_key").distinct(), section, list(texts), F.lit(-1))
@@ -228,10 +242,8 @@ def executor_lines(executors: DataFrame) -> DataFrame:
 def group_lines(stages: DataFrame, groups: DataFrame) -> DataFrame:
     """Tables of the groups with several stages, in order of their first stage."""
     keys = ["app_key", "group_name"]
-    rows = (
-        repeated_groups(groups)
-        .join(group_stage_ids(stages), keys, "left")
-        .join(group_anomaly_lists(stages, SHOWN_ANOMALIES).drop("n_anomalies"), keys, "left")
+    rows = repeated_groups(groups).join(
+        first_anomalies(stages, SHOWN_ANOMALIES).drop("n_anomalies"), keys, "left"
     )
     n = F.col("n_stages")
 
@@ -242,11 +254,13 @@ def group_lines(stages: DataFrame, groups: DataFrame) -> DataFrame:
         return _text(f"| {label} | ", fmt(F.col(name)), " | ", fmt(share(name)), " |")
 
     flag = F.when(F.col("n_anomalies") > 0, F.lit(f" {WARN}")).otherwise(F.lit(""))
-    ids = F.coalesce(
-        F.array_join(F.transform("stage_ids", lambda s: s.cast("string")), ","), F.lit("…")
-    )
+    titled = repeated_groups(groups).join(group_stage_ids(stages), keys)
+    opening = F.when(F.col("part") == 0, _text('### "', F.col("group_name"), '" ×', n, " stages (IDs: ")).otherwise(F.lit(","))
+    closing = F.when(F.col("part") == whole_div(n - 1, F.lit(PART_ITEMS)), _text(")", flag)).otherwise(F.lit(""))
+    ids = F.array_join(F.transform("stage_ids", lambda s: s.cast("string")), ",")
+    title = _pieces(titled, 5, F.concat(opening, ids, closing), F.col("first_stage_id"), F.col("group_name"))
     texts = F.array(
-        _text('### "', F.col("group_name"), '" ×', n, " stages (IDs: ", ids, ")", flag),
+        F.lit(None).cast("string"),
         F.lit("| Metric | Total | Per-Stage Avg |"),
         F.lit("|---|---|---|"),
         row("Tasks", "total_tasks", fmt_thousands),
@@ -288,7 +302,7 @@ def group_lines(stages: DataFrame, groups: DataFrame) -> DataFrame:
         F.col("first_stage_id"),
         F.col("group_name"),
     )
-    return _heading(rows, 5, GROUP_HEAD).unionByName(body)
+    return _heading(rows, 5, GROUP_HEAD).unionByName(title).unionByName(body)
 
 
 def stage_lines(stages: DataFrame) -> DataFrame:
@@ -337,9 +351,8 @@ def anomaly_lines(stages: DataFrame) -> DataFrame:
         .when(F.col("kind") == "low_cpu", _text(who, " (", fixed("cpu_efficiency", 3), ")"))
         .otherwise(who)
     )
-    lists = bounded_lists(
-        hits, ["app_key", "kind"], F.struct("stage_id", label.alias("label")), "hits"
-    )
+    counts = hits.groupBy("app_key", "kind").agg(F.count(F.lit(1)).alias("n_hits"))
+    lists = list_parts(hits, ["app_key", "kind"], ["stage_id"], label, "labels").join(counts, ["app_key", "kind"])
     # Line titles in order.
     titles = {
         "skewed": "Skewed stages",
@@ -351,12 +364,8 @@ def anomaly_lines(stages: DataFrame) -> DataFrame:
     for number, (kind, words) in enumerate(titles.items(), start=1):
         order = F.when(F.col("kind") == kind, number).otherwise(order)
         title = F.when(F.col("kind") == kind, F.lit(words)).otherwise(title)
-    named = F.array_join(
-        F.transform(F.coalesce("hits", F.array().cast("array<struct<stage_id:bigint,label:string>>")), lambda h: h["label"]), ", "
-    )
-    body = _lines(
-        lists, 8, [_text("- **", title, "** (", F.col("n_hits"), "): ", named)], order
-    )
+    opening = F.when(F.col("part") == 0, _text("- **", title, "** (", F.col("n_hits"), "): ")).otherwise(F.lit(", "))
+    body = _pieces(lists, 8, F.concat(opening, F.array_join("labels", ", ")), order)
     return _heading(hits, 8, ("", ANOMALY_HEADING)).unionByName(body)
 
 
@@ -376,12 +385,11 @@ def report_lines(
     return reduce(DataFrame.unionByName, sections)
 
 
-def report_documents(lines: DataFrame) -> DataFrame:
-    """One text per application; NULL past the line bound, where the line table serves."""
-    row = F.struct(*POSITION, "text")
-    lists = bounded_lists(lines, ["app_key"], row, "lines", DOCUMENT_LINES)
-    text = F.array_join(F.transform("lines", lambda x: x["text"]), "\n")
-    return lists.select("app_key", "n_lines", text.alias("report"))
+def report_documents(lines: DataFrame, size: int = PART_ITEMS) -> DataFrame:
+    """``app_key, chunk_no, n_pieces, text``: a report is its chunks' texts, one after the other."""
+    first = F.col("section").eqNullSafe(F.lit(1)) & (F.col("item") == 0) & (F.col("line_no") == 0)
+    broken = F.when((F.col("piece") > 0) | first, F.col("text")).otherwise(F.concat(F.lit("\n"), F.col("text")))
+    return text_chunks(lines.withColumn("text", broken), ["app_key"], POSITION, size)
 
 
 def compact_report(text: Column) -> Column:
@@ -397,11 +405,14 @@ def compact_report(text: Column) -> Column:
 
 
 def reduction_size(archives: DataFrame, documents: DataFrame) -> DataFrame:
-    """Bytes a report saves against its log: ``archives`` holds (app_key, archive_bytes)."""
-    size = F.octet_length(F.col("report"))
-    return archives.join(documents, "app_key").select(
+    """Bytes a report saves against its log.
+
+    ``archives`` holds ``app_key, archive_bytes``, ``documents`` the chunks ``app_key, text`` of each report.
+    """
+    sizes = documents.groupBy("app_key").agg(F.sum(F.octet_length("text")).alias("report_bytes"))
+    return archives.join(sizes, "app_key").select(
         "app_key",
         "archive_bytes",
-        size.alias("report_bytes"),
-        F.greatest(F.lit(0), F.col("archive_bytes") - size).alias("saved_bytes"),
+        "report_bytes",
+        F.greatest(F.lit(0), F.col("archive_bytes") - F.col("report_bytes")).alias("saved_bytes"),
     )

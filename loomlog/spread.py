@@ -67,23 +67,3 @@ def at_least_cores(rows: DataFrame) -> DataFrame:
     if rows.rdd.getNumPartitions() >= cores:
         return rows
     return rows.repartition(2 * cores)
-
-
-def bounded_lists(
-    rows: DataFrame, keys: Sequence[str], item: Column, name: str, limit: int = 100_000
-) -> DataFrame:
-    """``keys, n_<name>, <name>``: sorted list of items per key, NULL above ``limit`` items.
-
-    The count comes first, from a plain aggregation, and only keys within the limit are
-    collected. Larger keys keep their exact count here and all their items in ``rows``.
-    """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}"))
-    small = counts.filter(F.col(f"n_{name}") <= limit).select(*keys)
-    lists = (
-        salted_join(
-            rows.select(*keys, item.alias("_item")), small, keys, ["_item"], how="left_semi"
-        )
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_item")).alias(name))
-    )
-    return counts.join(lists, list(keys), "left")

@@ -23,6 +23,38 @@ def sc(x: str, factor: int = 1000) -> str:
     return f"cast(floor(({x}) * {factor}.0e0 + 0.5e0) as bigint)"
 
 
+def bytes_text(b: str) -> str:
+    cases = " ".join(
+        f"when ({b}) < {1024 ** (i + 1)} then format('{{{{:.1f}}}} {u}', ({b}) / {float(1024**i)}e0)"
+        for i, u in enumerate(("B", "KB", "MB", "GB", "TB"))
+    )
+    return f"(case {cases} else format('{{{{:.1f}}}} PB', ({b}) / {float(1024**5)}e0) end)"
+
+
+def ms_text(m: str) -> str:
+    return (
+        f"(case when ({m}) < 1000 then concat(cast({m} as string), ' ms') when ({m}) < 60000"
+        f" then format('{{{{:.1f}}}} s', ({m}) / 1000.0e0) else format('{{{{:.1f}}}} min', ({m}) / 60000.0e0) end)"
+    )
+
+
+def plain_text(x: str) -> str:
+    return f"regexp_replace(regexp_replace(format('{{{{:.3f}}}}', {x}), '0{{{{1,2}}}}$', ''), '\\.$', '.0')"
+
+
+def texts(*lines: str) -> str:
+    """Lines of one row, numbered from 0."""
+    return f"unnest(range({len(lines)})) as line_no, unnest([{', '.join(lines)}]) as text"
+
+
+def share_row(label: str, total: str, text) -> str:
+    return f"concat('| {label} | ', {text(total)}, ' | ', {text(total + ' // n_stages')}, ' |')"
+
+
+def thousands(x: str) -> str:
+    return f"format('{{{{:,}}}}', {x})"
+
+
 def big(**columns: str) -> str:
     return ", ".join(f"cast({expr} as bigint) as {name}" for name, expr in columns.items())
 
@@ -408,4 +440,105 @@ select distinct app_key, left(trim(case when simple_string like '%[%]%'
     then regexp_extract(simple_string, '\\[([^\\]]+)\\]', 1)
     else regexp_extract(simple_string, '([^\\s/\\\\]+)$', 1) end), 50) as source
 from o_node where node_name like 'Scan%'""",
+    "o_summary": """
+select app_key, case when a.n_added is null then 'unknown'
+    else coalesce(a.start_version, concat('4.1.', cast(length(app_key) as string))) end as spark_version, coalesce(q.n_plans, 0) as n_plans,
+  coalesce(app_id, 'unknown') as app_id, coalesce(app_name, 'unknown') as app_name,
+  coalesce(s.num_stages, 0) as num_stages, coalesce(s.num_tasks, 0) as num_tasks,
+  coalesce(a.end_ms - a.start_ms, 0) as total_duration_ms, coalesce(a.n_added, 0) as executor_count,
+  coalesce(a.memory_mb, 0) as executor_memory_mb, coalesce(a.overhead_mb, 0) as executor_overhead_mb,
+  coalesce(a.offheap_mb, 0) as executor_offheap_mb, coalesce(a.cores, 0) as executor_cores,
+  coalesce(q.n, 0) as sql_execution_count, coalesce(s.i, 0) as total_input_bytes,
+  coalesce(s.o, 0) as total_output_bytes, coalesce(s.r, 0) as total_shuffle_read_bytes,
+  coalesce(s.w, 0) as total_shuffle_write_bytes
+from (select app_key from v_app union select app_key from v_plan) k left join o_app a using (app_key)
+left join (select app_key, count(*) as num_stages, cast(sum(num_tasks) as bigint) as num_tasks,
+    cast(sum(input_bytes) as bigint) as i, cast(sum(output_bytes) as bigint) as o,
+    cast(sum(shuffle_read_bytes) as bigint) as r, cast(sum(shuffle_write_bytes) as bigint) as w
+  from o_stage_all group by app_key) s using (app_key)
+left join (select app_key, count(*) as n, sum(case when execution_id % 97 <> 5 then 1 else 0 end) as n_plans from v_plan group by app_key) q using (app_key)""",
+    "o_efficiency": f"""
+select app_key, {ratio('cpu', 'run')} as cpu_efficiency, {ratio('gc', 'run')} * 100 as gc_overhead_pct,
+  {ratio('deser', 'run')} * 100 as deser_overhead_pct
+from (select app_key, cast(sum(cpu_ms) as bigint) as cpu, cast(sum(gc_ms) as bigint) as gc,
+    cast(sum(deser_ms) as bigint) as deser, cast(sum(run_ms) as bigint) as run from o_executor group by app_key) t""",
+    "o_many": """
+select g.*, coalesce(m.n, 0) as n_messages
+from (select * from o_group where n_stages > 1) g
+left join (select app_key, group_name, count(*) as n from o_message group by 1, 2) m using (app_key, group_name)""",
+    "o_hit": f"""
+select app_key, 1 as item, 'Skewed stages' as title, stage_id,
+  concat('Stage ', cast(stage_id as string), ' (', {plain_text('skew_ratio')}, '×)') as label from o_flags where has_skew
+union all select app_key, 2, 'Disk spill', stage_id,
+  concat('Stage ', cast(stage_id as string), ' (', {bytes_text('disk_spill_bytes')}, ')') from o_flags where has_spill
+union all select app_key, 3, 'Heavy shuffle', stage_id, concat('Stage ', cast(stage_id as string)) from o_flags where has_heavy_shuffle
+union all select app_key, 4, 'Low CPU efficiency', stage_id,
+  concat('Stage ', cast(stage_id as string), ' (', format('{{{{:.3f}}}}', cpu_efficiency), ')') from o_flags where has_low_cpu""",
+    "o_line": f"""
+select app_key, 1 as section, 0 as item, '' as item_key, line_no, 0 as piece, text from (select app_key, {texts(
+    "concat('# Spark Log Report — ', app_name)", "''", "'## Application Overview'", "'| Field | Value |'", "'|---|---|'",
+    "concat('| App ID | `', app_id, '` |')", "concat('| Spark Version | ', spark_version, ' |')",
+    f"concat('| Total Duration | ', {ms_text('total_duration_ms')}, ' |')", "concat('| Stages | ', cast(num_stages as string), ' |')",
+    "concat('| Tasks | ', cast(num_tasks as string), ' |')", "concat('| Executors | ', cast(executor_count as string), ' |')",
+    f"concat('| Executor Memory | ', {thousands('executor_memory_mb')}, ' MB on-heap + ', {thousands('executor_overhead_mb')}, ' MB overhead |')",
+    "concat('| Executor Cores | ', cast(executor_cores as string), ' vcores/executor |')",
+    "concat('| SQL Executions | ', cast(sql_execution_count as string), ' |')",
+    *(f"concat('| {label} | ', {bytes_text(c)}, ' |')" for label, c in {
+        "Input": "total_input_bytes", "Output": "total_output_bytes",
+        "Shuffle Read": "total_shuffle_read_bytes", "Shuffle Write": "total_shuffle_write_bytes"}.items()))} from o_summary) a
+union all select app_key, 2, 0, '', line_no, 0, text from (select app_key, {texts(
+    "''", "'## Job-Level Efficiency'", "'| Metric | Value | Interpretation |'", "'|---|---|---|'",
+    "concat('| CPU Efficiency | ', format('{{:.3f}}', coalesce(cpu_efficiency, 0.0e0)), ' | ratio CPU time / wall-clock run time (1.0 = fully compute-bound) |')",
+    "concat('| GC Overhead | ', format('{{:.2f}}', coalesce(gc_overhead_pct, 0.0e0)), '% | % of task wall-clock spent in GC (>5% is concerning) |')",
+    "concat('| Deserialize Overhead | ', format('{{:.2f}}', coalesce(deser_overhead_pct, 0.0e0)), '% | % of task wall-clock spent deserializing inputs |')",
+  )} from (select app_key from o_summary) k left join o_efficiency using (app_key)) b
+union all select app_key, 3, -1, '', line_no, 0, text from (select app_key, {texts(
+    "''", "'## Executor-Level Metrics'", "'| Executor | Cores | Tasks | GC ms | GC% | CPU Efficiency |'", "'|---|---|---|---|---|---|'",
+  )} from (select distinct app_key from o_executor_summary) k) c
+union all select app_key, 3, 0, executor_id, 0, 0, concat('| ', executor_id, ' | ', cast(cores as string), ' | ', cast(tasks as string),
+  ' | ', {thousands('gc_ms')}, ' | ', format('{{{{:.2f}}}}', gc_pct), '% | ', format('{{{{:.3f}}}}', cpu_efficiency), ' |') from o_executor_summary
+union all select app_key, 4, -1, '', line_no, 0, text from (select app_key, {texts(
+    "''", "'**Outlier executors** (GC > 5% or CPU efficiency < 0.05):'")}
+  from (select distinct app_key from o_executor_summary where gc_pct > 5.0e0 or cpu_efficiency < 0.05e0) k) d
+union all select app_key, 4, 0, executor_id, 0, 0, concat('- Executor ', executor_id, ' (', host, '): gc=', format('{{{{:.2f}}}}', gc_pct),
+  '%, cpu_eff=', format('{{{{:.3f}}}}', cpu_efficiency)) from o_executor_summary where gc_pct > 5.0e0 or cpu_efficiency < 0.05e0
+union all select app_key, 5, -1, '', line_no, 0, text from (select app_key, {texts(
+    "''", "'## Stage Groups (repeated operations)'")} from (select distinct app_key from o_many) k) e
+union all select app_key, 5, first_stage_id, group_name, 0, part, concat(
+    case when part = 0 then concat('### "', group_name, '" ×', cast(n_stages as string), ' stages (IDs: ') else ',' end, ids,
+    case when part = (n_stages - 1) // 1000 then concat(')', case when n_messages > 0 then ' ⚠️' else '' end) else '' end)
+  from o_many join (select app_key, group_name, (rn - 1) // 1000 as part, string_agg(cast(stage_id as string), ',' order by stage_id) as ids
+    from (select *, row_number() over (partition by app_key, group_name order by stage_id) as rn from o_grouped) z group by 1, 2, 3) i
+    using (app_key, group_name)
+union all select app_key, 5, first_stage_id, group_name, line_no + 1, 0, text from (select app_key, first_stage_id, group_name, {texts(
+    "'| Metric | Total | Per-Stage Avg |'", "'|---|---|---|'", share_row("Tasks", "total_tasks", thousands),
+    share_row("Duration", "total_duration_ms", ms_text), share_row("Input", "total_input_bytes", bytes_text),
+    share_row("Shuffle Read", "total_shuffle_read_bytes", bytes_text), share_row("Shuffle Write", "total_shuffle_write_bytes", bytes_text),
+    f"case when total_disk_spill_bytes > 0 then {share_row('Disk Spill', 'total_disk_spill_bytes', bytes_text)} end",
+    f"concat('| Skew Ratio | min=', {plain_text('skew_ratio_min')}, '× avg=', {plain_text('skew_ratio_avg')}, '× max=', {plain_text('skew_ratio_max')}, '× | — |')",
+    "case when worst_gc_pct > 5.0e0 then concat('| Worst GC Overhead | ', format('{{:.2f}}', worst_gc_pct), '% | — |') end",
+    "case when n_messages > 0 then '' end", "case when n_messages > 0 then concat('**Anomalies (', cast(n_messages as string), '):**') end",
+  )} from o_many) f where text is not null
+union all select m.app_key, 5, g.first_stage_id, m.group_name, 12 + rn, 0, concat('- ', anomaly) from (select o_message.*, row_number() over (
+  partition by app_key, group_name order by stage_id, pos) as rn from o_message) m join o_many g using (app_key, group_name) where rn <= 10
+union all select app_key, 5, first_stage_id, group_name, 11 + case when n_messages > 0 then 2 + least(10, n_messages) else 0 end, 0, '' from o_many
+union all select app_key, 6, -1, '', line_no, 0, text from (select app_key, {texts(
+    "''", "'## Stage Breakdown'",
+    "'| Stage | Name | Tasks | Duration | Input | Shuffle R | Shuffle W | SW Time | Fetch Wait | Spill Mem | Spill Disk | Peak Mem | Skew | CPU Eff | GC% | Deser ms |'",
+    "'|---|---|---|---|---|---|---|---|---|---|---|---|---|---|---|---|'")} from (select distinct app_key from o_group where n_stages = 1) k) h
+union all select app_key, 6, stage_id, '', 0, 0, concat('| ', concat_ws(' | ', cast(stage_id as string), left(stage_name, 35), cast(num_tasks as string),
+    {ms_text('duration_ms')}, {bytes_text('input_bytes')}, {bytes_text('shuffle_read_bytes')}, {bytes_text('shuffle_write_bytes')},
+    {ms_text('sw_time_ms')}, {ms_text('fetch_wait_ms')}, {bytes_text('mem_spill_bytes')},
+    concat({bytes_text('disk_spill_bytes')}, case when has_spill then ' 💾' else '' end), {bytes_text('peak_mem_bytes')},
+    concat({plain_text('skew_ratio')}, case when has_skew then ' ⚠️' else '' end), {plain_text('cpu_efficiency')},
+    {plain_text('gc_overhead_pct')}, cast(deser_ms as string)), ' |')
+  from o_grouped join (select app_key, group_name from o_group where n_stages = 1) z using (app_key, group_name)
+union all select app_key, 7, 0, '', line_no, 0, text from (select app_key, {texts(
+    "''", "'## SQL Physical Plan (Structured)'", "'(interactive rendering available in desktop UI)'")} from o_summary where n_plans > 0) j
+union all select app_key, 8, -1, '', line_no, 0, text from (select app_key, {texts("''", "'## ⚠️ Anomaly Summary'")}
+  from (select distinct app_key from o_hit) k) l
+union all select app_key, 8, item, '', 0, part, concat(case when part = 0
+    then concat('- **', title, '** (', cast(n as string), '): ') else ', ' end, string_agg(label, ', ' order by stage_id))
+  from (select *, (row_number() over (partition by app_key, item order by stage_id) - 1) // 1000 as part,
+      count(*) over (partition by app_key, item) as n from o_hit) y group by app_key, item, title, n, part""",
 }

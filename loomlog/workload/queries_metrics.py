@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.functions.scalars import scaled
@@ -19,7 +19,8 @@ from loomlog.operators import (
     snippets,
     stages,
 )
-from loomlog.session import fresh_dir, materialize
+from loomlog.operators.numbering import numbered
+from loomlog.session import materialize
 from loomlog.spread import at_least_cores
 from loomlog.workload.oracle_views import ALL_SUMS, STAGE_SUMS, pct, ratio, sc
 from loomlog.workload.registry import query
@@ -155,24 +156,7 @@ SUMMARY = (
 ).split()
 
 
-@query(
-    "agg_app_summary",
-    """
-select app_key, coalesce(app_id, 'unknown') as app_id, coalesce(app_name, 'unknown') as app_name,
-  coalesce(s.num_stages, 0) as num_stages, coalesce(s.num_tasks, 0) as num_tasks,
-  coalesce(a.end_ms - a.start_ms, 0) as total_duration_ms, coalesce(a.n_added, 0) as executor_count,
-  coalesce(a.memory_mb, 0) as executor_memory_mb, coalesce(a.overhead_mb, 0) as executor_overhead_mb,
-  coalesce(a.offheap_mb, 0) as executor_offheap_mb, coalesce(a.cores, 0) as executor_cores,
-  coalesce(q.n, 0) as sql_execution_count, coalesce(s.i, 0) as total_input_bytes,
-  coalesce(s.o, 0) as total_output_bytes, coalesce(s.r, 0) as total_shuffle_read_bytes,
-  coalesce(s.w, 0) as total_shuffle_write_bytes
-from (select app_key from v_app union select app_key from v_plan) k left join o_app a using (app_key)
-left join (select app_key, count(*) as num_stages, cast(sum(num_tasks) as bigint) as num_tasks,
-    cast(sum(input_bytes) as bigint) as i, cast(sum(output_bytes) as bigint) as o,
-    cast(sum(shuffle_read_bytes) as bigint) as r, cast(sum(shuffle_write_bytes) as bigint) as w
-  from o_stage_all group by app_key) s using (app_key)
-left join (select app_key, count(*) as n from v_plan group by app_key) q using (app_key)""",
-)
+@query("agg_app_summary", "select app_key, app_id, app_name, " + ", ".join(SUMMARY) + " from o_summary")
 def agg_app_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
     rows = apps.app_summary(log, rollups.stage_tasks_all(log.tasks))
@@ -209,8 +193,9 @@ def agg_stage_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "agg_stage_group_ids",
     """
-select app_key, group_name, string_agg(cast(stage_id as string), ',' order by stage_id) as stage_ids
-from o_grouped group by 1, 2""",
+select app_key, group_name, (rn - 1) // 1000 as part, string_agg(cast(stage_id as string), ',' order by stage_id) as stage_ids
+from (select *, row_number() over (partition by app_key, group_name order by stage_id) as rn from o_grouped) t
+group by 1, 2, 3""",
 )
 def agg_stage_group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
@@ -227,22 +212,27 @@ HOST = "tasks run_ms max_task_ms gc_ms shuffle_read_bytes shuffle_write_bytes in
     f"""
 select app_key, host, tasks, run_ms, max_task_ms, gc_ms, shuffle_read_bytes, shuffle_write_bytes,
   input_bytes, disk_spill_bytes, run_ms // tasks as avg_task_ms, {sc(pct('gc_ms', 'run_ms'))} as gc_pct_x1000,
-  executor_ids
+  n_executors, part, executor_ids
 from (select o.app_key, coalesce(o.host, r.host, 'unknown') as host, count(*) as tasks,
     cast(sum(run_ms) as bigint) as run_ms, max(run_ms) as max_task_ms, cast(sum(gc_ms) as bigint) as gc_ms,
     cast(sum(case when sr_total_bytes > 0 then sr_total_bytes else sr_remote_bytes + sr_local_bytes end) as bigint)
       as shuffle_read_bytes,
     cast(sum(sw_bytes) as bigint) as shuffle_write_bytes, cast(sum(input_bytes) as bigint) as input_bytes,
-    cast(sum(disk_spill_bytes) as bigint) as disk_spill_bytes,
-    array_to_string(list_sort(list(distinct executor_id)), ',') as executor_ids
-  from o_task o left join o_registry r using (app_key, executor_id) where good and not stale group by 1, 2) t""",
+    cast(sum(disk_spill_bytes) as bigint) as disk_spill_bytes, count(distinct executor_id) as n_executors
+  from o_task o left join o_registry r using (app_key, executor_id) where good and not stale group by 1, 2) t
+join (select app_key, host, (rn - 1) // 1000 as part, string_agg(executor_id, ',' order by executor_id) as executor_ids
+  from (select *, row_number() over (partition by app_key, host order by executor_id) as rn from (
+    select distinct o.app_key, coalesce(o.host, r.host, 'unknown') as host, executor_id
+    from o_task o left join o_registry r using (app_key, executor_id) where good and not stale) p) n
+  group by 1, 2, 3) e using (app_key, host)""",
 )
 def agg_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
     marked = attempts.mark_tasks(log.tasks, attempts.stage_state(log.stage_events))
-    rows = rollups.host_rollup(marked, log.executor_events)
+    lists = rollups.host_executors(marked, log.executor_events)
+    rows = rollups.host_rollup(marked, log.executor_events).join(lists, ["app_key", "host"])
     ids = F.array_join("executor_ids", ",").alias("executor_ids")
-    return rows.select("app_key", "host", *HOST, *x({"gc_pct": 1000}), ids)
+    return rows.select("app_key", "host", *HOST, *x({"gc_pct": 1000}), "n_executors", "part", ids)
 
 
 @query(
@@ -703,7 +693,7 @@ select app_key, group_name, count(*) as n_anomalies, array_to_string(list(anomal
   as shown from o_message group by 1, 2""",
 )
 def limit_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = groups.group_anomaly_lists(_metrics(spark, sf_dir), shown=10)
+    rows = groups.first_anomalies(_metrics(spark, sf_dir), 10)
     return rows.select(
         "app_key", "group_name", "n_anomalies", F.array_join("anomalies", "; ").alias("shown")
     )
@@ -717,32 +707,31 @@ def distinct_stage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sort_outputs",
     """
-select app_key, stage_id, row_number() over (partition by app_key order by stage_id) as position
-from o_stage_all""",
+select kind, app_key, name, row_number() over (partition by kind, app_key order by number, name) as position from (
+  select 'stage' as kind, app_key, stage_id as number, cast(stage_id as string) as name from o_stage
+  union all select distinct 'job', app_key, job_id, cast(job_id as string) from v_job
+  union all select distinct 'host', o.app_key, 0, coalesce(o.host, r.host, 'unknown')
+    from o_task o left join o_registry r using (app_key, executor_id) where good and not stale
+  union all select 'executor', app_key, 0, executor_id from o_executor
+  union all select 'group', app_key, first_stage_id, group_name from o_group) t""",
 )
 def sort_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order a globally sorted sink has on disk, read back from its files.
+    """The five ordered outputs: stages, jobs and groups by number, hosts and executors by name."""
+    log = prepared_log(spark, sf_dir)
+    marked = attempts.mark_tasks(log.tasks, attempts.stage_state(log.stage_events))
 
-    A row's position in its application is its place in the file plus the application's
-    rows in the files before; only the sizes per (application, file) are ranked.
-    """
-    path = fresh_dir(spark, "sorted")
-    prepared_log(spark, sf_dir).tasks.select(*KEYS).distinct().orderBy(*KEYS).write.parquet(path)
-    rows = spark.read.parquet(path).select(
-        "*",
-        F.col("_metadata.file_name").alias("_file"),
-        F.col("_metadata.row_index").alias("_row"),
-    )
-    parts = rows.groupBy("app_key", "_file").agg(
-        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    earlier = Window.partitionBy("app_key").orderBy("_file")
-    before = F.coalesce(
-        F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    placed = rows.join(parts.withColumn("_before", before), ["app_key", "_file"])
-    position = F.col("_before") + F.col("_row") - F.col("_first") + 1
-    return placed.select(*KEYS, position.alias("position"))
+    def kind(name: str, rows: DataFrame, number: str, label: str) -> DataFrame:
+        number = F.col(number) if number else F.lit(0)
+        return rows.select(
+            F.lit(name).alias("kind"), "app_key", number.cast("bigint").alias("number"), F.col(label).cast("string").alias("name")
+        )
+
+    rows = kind("stage", _stages(spark, sf_dir), "stage_id", "stage_id")
+    rows = rows.unionByName(kind("job", apps.jobs(log), "job_id", "job_id"))
+    rows = rows.unionByName(kind("host", rollups.host_rollup(marked, log.executor_events), "", "host"))
+    rows = rows.unionByName(kind("executor", rollups.executor_rollup(log.tasks), "", "executor_id"))
+    rows = rows.unionByName(kind("group", groups.stage_groups(_metrics(spark, sf_dir)), "first_stage_id", "group_name"))
+    return numbered(rows, ["kind", "app_key"], ["number", "name"]).select("kind", "app_key", "name", "position")
 
 
 # --- graphs --------------------------------------------------------------------------------

@@ -12,10 +12,11 @@ from loomlog.plans.flatten import codegen_members, flatten_plans
 from loomlog.plans.simplify import simplify_plans
 from loomlog.reports import documents as D
 from loomlog.reports import lines as L
-from loomlog.session import fresh_dir, materialize
+from loomlog.operators.numbering import PART_ITEMS
+from loomlog.session import fresh_dir
 from loomlog.workload.oracle_views import sc
 from loomlog.workload.registry import query
-from loomlog.workload.views import prepared_log, table
+from loomlog.workload.views import prepared_log, stored_table, table
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,12 +148,11 @@ def win_root_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     log = prepared_log(spark, sf_dir)
-    rows = materialize(rollups.stage_metrics(log.tasks, log.stage_events), "metrics")
-    executors = rollups.executor_summary(log.tasks, log.executor_events)
+    rows = stored_table(spark, sf_dir, "metrics", lambda log: rollups.stage_metrics(log.tasks, log.stage_events))
     return (
-        materialize(apps.app_summary(log, rows), "summary"),
+        stored_table(spark, sf_dir, "summary", lambda log: apps.app_summary(log, rows)),
         rollups.job_efficiency(log.tasks),
-        materialize(executors, "executors"),
+        stored_table(spark, sf_dir, "executors", lambda log: rollups.executor_summary(log.tasks, log.executor_events)),
         rows,
     )
 
@@ -173,105 +173,54 @@ left join (select app_key, count(*) as n from v_task group by 1) t using (app_ke
 
 @query("sink_summary_json", RECORDS)
 def sink_summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the nested documents, reads them back and unfolds their records."""
+    """Writes all records of the summary as JSON, reads them back and unfolds them."""
     path = fresh_dir(spark, "summary")
-    records = materialize(D.summary_records(*_parts(spark, sf_dir)), "records")
-    D.nested_documents(records).write.option(
-        "compression", "gzip"
-    ).json(path)
-    docs = spark.read.schema("app_key string, document string").json(path)
-    app = "struct<app_name:string,num_tasks:bigint>"
-    stage = "array<struct<stage_id:bigint,stage_name:string,num_tasks:bigint,skew_ratio:double>>"
-    executor = "array<struct<executor_id:string,host:string,tasks:bigint,cpu_efficiency:double>>"
-    group = (
-        "array<struct<first_stage_id:bigint,group_name:string,total_tasks:bigint,skew_ratio_max:double>>"
+    D.summary_records(*_parts(spark, sf_dir)).write.option("compression", "gzip").json(path)
+    records = spark.read.schema("app_key string, kind string, position string, record string").json(path)
+    ddl = (
+        "app_name string, num_tasks bigint, stage_name string, skew_ratio double, host string, tasks bigint, "
+        "cpu_efficiency double, group_name string, total_tasks bigint, skew_ratio_max double, part bigint"
     )
-    ddl = f"app {app}, stage {stage}, executor {executor}, `group` {group}"
-    parsed = docs.select("app_key", F.from_json("document", ddl).alias("d"))
-
-    def unfold(kind: str, position, label: str, tasks: str, measure: str, factor: int) -> DataFrame:
-        rows = parsed.select("app_key", F.inline(F.col(f"d.`{kind}`")))
-        return rows.select(
-            "app_key",
-            F.lit(kind).alias("kind"),
-            position.alias("position"),
-            F.col(label).alias("label"),
-            F.col(tasks).alias("tasks"),
-            scaled(measure, factor).alias("measure"),
-        )
-
-    def padded(c: str):
-        return F.lpad(F.col(c).cast("string"), 20, "0")
-
-    one = parsed.select(
-        "app_key",
-        F.lit("app").alias("kind"),
-        F.lit("").alias("position"),
-        F.col("d.app.app_name").alias("label"),
-        F.col("d.app.num_tasks").alias("tasks"),
-        F.lit(None).cast("bigint").alias("measure"),
+    rows = records.select("*", F.from_json("record", ddl).alias("r")).filter(F.col("r.part").isNull())
+    kind = F.col("kind")
+    measure = (
+        F.when(kind == "stage", scaled("r.skew_ratio", 100))
+        .when(kind == "executor", scaled("r.cpu_efficiency", 1000))
+        .when(kind == "group", scaled("r.skew_ratio_max", 100))
     )
-    return (
-        unfold("stage", padded("stage_id"), "stage_name", "num_tasks", "skew_ratio", 100)
-        .unionByName(
-            unfold("executor", F.col("executor_id"), "host", "tasks", "cpu_efficiency", 1000)
-        )
-        .unionByName(
-            unfold(
-                "group",
-                F.concat(padded("first_stage_id"), F.col("group_name")),
-                "group_name",
-                "total_tasks",
-                "skew_ratio_max",
-                100,
-            )
-        )
-        .unionByName(one)
+    return rows.select(
+        "app_key",
+        "kind",
+        # A group's position ends in the part of its lists.
+        F.when(kind == "group", F.regexp_replace("position", " [0-9]{20}$", "")).otherwise(F.col("position")).alias("position"),
+        F.coalesce("r.stage_name", "r.host", "r.group_name", "r.app_name").alias("label"),
+        F.coalesce("r.num_tasks", "r.tasks", "r.total_tasks").alias("tasks"),
+        measure.alias("measure"),
     )
 
 
 @query(
     "sink_report_doc",
-    f"""
-select s.app_key, cast(s.section as bigint) as section, s.text
-from (
-  select app_key, 1 as section, concat('| App ID | `', app_id, '` |') as text from v_app
-  union all select app_key, 3, concat('| ', executor_id, ' | ', cast(cores as string), ' | ', cast(tasks as string), ' | ',
-    format('{{:,}}', gc_ms), ' | ', format('{{:.2f}}', gc_pct), '% | ', format('{{:.3f}}', cpu_efficiency), ' |') from o_executor_summary
-  union all select app_key, 4, concat('- Executor ', executor_id, ' (', host, '): gc=', format('{{:.2f}}', gc_pct),
-    '%, cpu_eff=', format('{{:.3f}}', cpu_efficiency)) from o_executor_summary where gc_pct > 5.0e0 or cpu_efficiency < 0.05e0
-  union all select app_key, 5, concat('- ', anomaly) from (select m.*, row_number() over (
-    partition by app_key, group_name order by stage_id, pos) as rn from o_message m) x
-    join (select app_key, group_name from o_group where n_stages > 1) g using (app_key, group_name) where rn <= 10
-  union all select app_key, 8, concat('- **Heavy shuffle** (', cast(count(*) as string), '): ',
-    string_agg(concat('Stage ', cast(stage_id as string)), ', ' order by stage_id)) from o_flags where has_heavy_shuffle group by 1
-  union all select app_key, 8, concat('- **Low CPU efficiency** (', cast(count(*) as string), '): ',
-    string_agg(concat('Stage ', cast(stage_id as string), ' (', format('{{:.3f}}', cpu_efficiency), ')'), ', ' order by stage_id))
-    from o_flags where has_low_cpu group by 1
-) s join v_app using (app_key)""",
+    "select app_key, cast(section as bigint) as section, item, item_key, cast(line_no as bigint) as line_no, piece, text from o_line",
 )
 def sink_report_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all reports that the source SQL spells out; tests cover whole documents."""
-    rows = L.report_lines(*_parts(spark, sf_dir)).join(
-        prepared_log(spark, sf_dir).app_events.select("app_key").distinct(), "app_key", "left_semi"
-    )
-    text = F.col("text")
-    spelled = (
-        text.startswith("| App ID")
-        | ((F.col("section") == 3) & (F.col("item") == 0))
-        | ((F.col("section") == 4) & (F.col("item") == 0))
-        | ((F.col("section") == 5) & text.startswith("- "))
-        | text.startswith("- **Heavy")
-        | text.startswith("- **Low")
-    )
-    return rows.filter(spelled).select(
-        "app_key", F.col("section").cast("bigint").alias("section"), "text"
-    )
+    """Every line of every report, in pieces where a line lists many items."""
+    rows = L.report_lines(*_parts(spark, sf_dir))
+    numbers = [F.col(c).cast("bigint").alias(c) for c in ("section", "line_no")]
+    return rows.select("app_key", numbers[0], "item", "item_key", numbers[1], "piece", "text")
 
 
-@query("sink_report_documents")
+@query(
+    "sink_report_documents",
+    f"""
+select app_key, (place - 1) // {PART_ITEMS} as chunk_no, count(*) as n_pieces,
+  string_agg(case when piece > 0 or place = 1 then text else concat(chr(10), text) end, '' order by place) as text
+from (select *, row_number() over (partition by app_key order by section, item, item_key, line_no, piece) as place from o_line) t
+group by 1, 2""",
+)
 def sink_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.report_documents(materialize(L.report_lines(*_parts(spark, sf_dir)), "lines"))
+    chunks = L.report_documents(L.report_lines(*_parts(spark, sf_dir)))
+    return chunks.withColumn("n_pieces", F.col("n_pieces").cast("bigint"))
 
 
 @query(
@@ -294,13 +243,17 @@ def sink_report_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sink_llm_context",
     f"""
-select g.app_key, 'stage_group' as kind, group_name as label, n_stages as n, total_tasks as tasks,
-  case when total_disk_spill_bytes > 0 then total_disk_spill_bytes end as disk_spill_bytes,
-  case when worst_gc_pct > 5.0e0 then {sc('worst_gc_pct', 100)} end as worst_gc_x100,
-  coalesce(m.n, 0) as n_anomalies
-from o_group g left join (select app_key, group_name, count(*) as n from o_message group by 1, 2) m using (app_key, group_name)
+select g.app_key, 'stage_group' as kind, group_name as label, part, case when part = 0 then n_stages end as n,
+  case when part = 0 then total_tasks end as tasks,
+  case when part = 0 and total_disk_spill_bytes > 0 then total_disk_spill_bytes end as disk_spill_bytes,
+  case when part = 0 and worst_gc_pct > 5.0e0 then {sc('worst_gc_pct', 100)} end as worst_gc_x100,
+  greatest(0, least({PART_ITEMS}, coalesce(m.n, 0) - part * {PART_ITEMS})) as n_anomalies
+from o_group g left join (select app_key, group_name, count(*) as n from o_message group by 1, 2) m using (app_key, group_name),
+  lateral (select unnest(range(1 + greatest(n_stages - 1, coalesce(m.n, 0) - 1) // {PART_ITEMS})) as part) p
+union all select app_key, 'app', app_name, 0, num_stages, num_tasks, null, null, 0 from o_summary
+union all select app_key, 'job_efficiency', '', 0, null, null, null, {sc('gc_overhead_pct', 100)}, 0 from o_efficiency
 union all
-select app_key, case when uniform then 'uniform_executors' else 'executor' end, case when uniform then '' else executor_id end,
+select app_key, case when uniform then 'uniform_executors' else 'executor' end, case when uniform then '' else executor_id end, 0,
   case when uniform then n_executors end, case when uniform then total_tasks else tasks end, null, null, 0
 from (select s.app_key, s.executor_id, s.tasks, m.n_executors, m.total_tasks, m.n_executors > 2
     and m.far_gc <= greatest(m.gc_mean * 0.1e0, 0.5e0) and m.far_cpu <= greatest(m.cpu_mean * 0.1e0, 0.05e0) as uniform,
@@ -316,21 +269,19 @@ where not uniform or rn = 1""",
 def sink_llm_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = D.context_records(*_parts(spark, sf_dir))
     ddl = (
-        "id string, name string, count bigint, tasks bigint, total_tasks bigint, "
-        "total_disk_spill_bytes bigint, worst_gc_pct double, anomalies array<string>"
-    )
-    kinds = ("stage_group", "uniform_executors", "executor")
-    rows = records.filter(F.col("kind").isin(*kinds)).select(
-        "app_key", "kind", F.from_json("record", ddl).alias("r")
+        "id string, name string, part bigint, count bigint, tasks bigint, total_tasks bigint, num_stages bigint, num_tasks bigint, "
+        "total_disk_spill_bytes bigint, worst_gc_pct double, gc_overhead_pct double, anomalies array<string>"
     )
+    rows = records.select("app_key", "kind", F.from_json("record", ddl).alias("r"))
     return rows.select(
         "app_key",
         "kind",
         F.coalesce("r.name", "r.id", F.lit("")).alias("label"),
-        F.col("r.count").alias("n"),
-        F.coalesce("r.total_tasks", "r.tasks").alias("tasks"),
+        F.coalesce("r.part", F.lit(0)).alias("part"),
+        F.coalesce("r.count", "r.num_stages").alias("n"),
+        F.coalesce("r.total_tasks", "r.tasks", "r.num_tasks").alias("tasks"),
         F.col("r.total_disk_spill_bytes").alias("disk_spill_bytes"),
-        scaled("r.worst_gc_pct", 100).alias("worst_gc_x100"),
+        scaled(F.coalesce("r.worst_gc_pct", "r.gc_overhead_pct"), 100).alias("worst_gc_x100"),
         F.coalesce(F.size("r.anomalies"), F.lit(0)).alias("n_anomalies"),
     )
 
@@ -347,6 +298,6 @@ def agg_reduction_size(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("app_key"), (F.col("o_custkey") * 3).alias("archive_bytes")
     )
     texts = rows.select(
-        F.col("o_orderkey").alias("app_key"), F.repeat("o_orderpriority", F.lit(100)).alias("report")
+        F.col("o_orderkey").alias("app_key"), F.repeat("o_orderpriority", F.lit(100)).alias("text")
     )
     return L.reduction_size(sizes, texts)
