@@ -15,7 +15,7 @@ from loomlog.functions import scalars as fn
 from loomlog.functions.text import head_lines
 from loomlog.operators import apps, attempts, groups, rollups, stages
 from loomlog.session import fresh_dir, materialize
-from loomlog.sources import archives, events, lines
+from loomlog.sources import archives, events, lines, zip_source
 from loomlog.spread import salted_join
 from loomlog.workload.oracle_views import pct, ratio, sc
 from loomlog.workload.registry import query
@@ -44,7 +44,12 @@ def _pack_archive(pdf: pd.DataFrame) -> pd.DataFrame:
         if number % 7 == 5:
             for i in range(1001):
                 archive.writestr(f"many/{i}", "x")
-    return pd.DataFrame({"number": [number], "content": [buffer.getvalue()]})
+        if number % 7 == 6:
+            archive.writestr(zipfile.ZipInfo("damaged"), f"lost {number}")
+    content = buffer.getvalue()
+    if number % 7 == 6:  # stored as it is, so a changed letter breaks the member's checksum
+        content = content.replace(f"lost {number}".encode(), f"LOST {number}".encode())
+    return pd.DataFrame({"number": [number], "content": [content]})
 
 
 def _write_archives(spark: SparkSession, sf_dir: str) -> str:
@@ -75,19 +80,27 @@ select cast(doc_id // 16 as string) as app_key, concat('logs/', cast(doc_id as s
   trim(line, E'{ASCII_SPACE}') as line, count(*) as n
 from (select doc_id, unnest(string_split(text, chr(10))) as line from documents
   where (doc_id // 16) % 7 not in (3, 4, 5)) t
-where trim(line, E'{ASCII_SPACE}') <> '' group by 1, 2, 3""",
+where trim(line, E'{ASCII_SPACE}') <> '' group by 1, 2, 3
+union all select cast(number as string), case when number % 7 = 6 then 'damaged' end, concat('(', case number % 7
+    when 3 then case when number % 2 = 1 then 'empty' else 'bad_magic' end when 4 then 'compression_ratio'
+    when 5 then 'too_many_files' else 'damaged' end, ')'), 1
+from (select distinct doc_id // 16 as number from documents) a where number % 7 in (3, 4, 5, 6)""",
 )
 def src_zip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = archives.archive_members(spark, _write_archives(spark, sf_dir))
-    read = archives.archive_lines(members)
+    """Lines of all archives, and a row with the reason for what could not be read."""
+    zip_source.register(spark)
+    read = spark.read.format("loomlog_zip").load(_write_archives(spark, sf_dir))
+    reason = F.concat(F.lit("("), F.regexp_extract("reason", "^[a-z_]+", 0), F.lit(")"))
+    read = read.select("app_key", "file_name", F.coalesce("line", reason).alias("line"))
     return read.groupBy("app_key", "file_name", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "src_archive_audit",
     """
-select number, case when number % 7 = 3 then 0 else n_docs + case number % 7 when 4 then 1 when 5 then 1001 else 0 end end as n_files,
-  case when number % 7 = 3 then 0 else n_bytes + case number % 7 when 4 then 1000000 when 5 then 1001 else 0 end end as uncompressed_bytes,
+select number, case when number % 7 = 3 then 0 else n_docs + case number % 7 when 4 then 1 when 5 then 1001 when 6 then 1 else 0 end end as n_files,
+  case when number % 7 = 3 then 0 else n_bytes + case number % 7 when 4 then 1000000 when 5 then 1001
+    when 6 then 5 + length(cast(number as string)) else 0 end end as uncompressed_bytes,
   case when number % 7 = 3 then case when number % 2 = 1 then 'empty' else 'bad_magic' end
     when number % 7 = 4 then 'compression_ratio' when number % 7 = 5 then 'too_many_files' end as reason
 from (select doc_id // 16 as number, count(*) as n_docs, cast(sum(strlen(text)) as bigint) as n_bytes

@@ -155,6 +155,68 @@ def test_archive_lines(spark, archive_dir):
     assert counts == {"good": 4, "limit": 1000}
 
 
+def damaged_zips(folder):
+    """Equal names in two folders, a bad checksum, an encrypted member, an unknown method."""
+    for sub, line in (("x", "one"), ("y", "two")):
+        (folder / sub).mkdir()
+        (folder / sub / "app.zip").write_bytes(zip_bytes({"log": line}))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("first", "kept\n")
+        z.writestr("second", "some text\n")
+        z.writestr("second", "a name twice\n")
+        z.writestr("third", "kept too\n")
+    body = buffer.getvalue().replace(b"some text", b"SOME text")
+    (folder / "crc.zip").write_bytes(body)
+    secret, odd = bytearray(buffer.getvalue()), bytearray(buffer.getvalue())
+    at = secret.rfind(b"PK\x01\x02")  # the directory entry of the last member
+    secret[at + 8] |= 1
+    odd[at + 10] = 99
+    (folder / "secret.zip").write_bytes(secret)
+    (folder / "odd.zip").write_bytes(odd)
+    (folder / "empty.zip").write_bytes(b"")
+    return str(folder)
+
+
+@pytest.mark.parametrize("split", [1 << 30, 1])
+def test_damaged_archives_are_rows(spark, tmp_path, split):
+    from loomlog.sources import zip_source
+
+    root = damaged_zips(tmp_path)
+    zip_source.register(spark)
+    source = spark.read.format("loomlog_zip").option("splitBytes", split).load(root)
+    for rows in (source, archives.archive_rows(archives.archive_members(spark, root))):
+        found = sorted((r.app_key, r.file_seq if r.file_seq is not None else -1, r.line or "(" + r.reason.split(":")[0] + ")") for r in rows.collect())
+        rest = [(0, "kept"), (1, "some text"), (2, "a name twice")]
+        assert found == [
+            ("crc", 0, "kept"), ("crc", 1, "(damaged)"), ("crc", 2, "a name twice"), ("crc", 3, "kept too"),
+            ("empty", -1, "(empty)"),
+            *(("odd", *r) for r in rest), ("odd", 3, "(unknown_method)"),
+            *(("secret", *r) for r in rest), ("secret", 3, "(encrypted)"),
+            ("x/app", 0, "one"), ("y/app", 0, "two"),
+        ]
+
+
+def test_unknown_places_are_rows(spark, tmp_path):
+    roots = [str(tmp_path / "absent"), "nowhere://bucket/logs", damaged_zips(tmp_path)]
+    members = archives.archive_members(spark, roots)
+    verdicts = {r.archive: r for r in archives.archive_audit(members).collect()}
+    assert [verdicts[r].reason for r in roots[:2]] == ["unreadable"] * 2 and verdicts[roots[1]].error
+    rows = archives.archive_rows(members).collect()
+    assert {r.archive: r.reason for r in rows if r.reason == "unreadable"} == dict.fromkeys(roots[:2], "unreadable")
+    # With several roots the key is the whole path.
+    assert {r.app_key for r in rows if r.line == "one"} == {roots[2] + "/x/app"}
+
+
+def test_lines_come_in_batches_of_bounded_bytes(tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "BATCH_BYTES", 1000)
+    path = tmp_path / "long.zip"
+    path.write_bytes(zip_bytes({"log": "".join(f"line {k} {'x' * 90}\n" for k in range(500))}))
+    magic, members, error = archives.read_directory(str(path))
+    batches = list(archives.member_rows(str(path), "long", members))
+    assert len(batches) > 40 and sum(b.num_rows for b in batches) == 500 and max(b.num_rows for b in batches) < 20
+
+
 def model_collapse(text, keep):
     out, runs = [], []
     for line in text.splitlines():
