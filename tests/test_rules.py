@@ -1,5 +1,6 @@
 """Ordered and windowed operators against sequential models on random input."""
 
+import os
 import random
 
 from logs import (
@@ -145,6 +146,37 @@ def test_longest_paths(spark):
     assert {(r.job_id, r.stage_id): (r.level, r.w) for r in got.collect()} == expected
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 2,000 stages, and chains that part and meet again, end in a cycle or start in one."""
+    folders, fresh = [], graph.fresh_dir
+    monkeypatch.setattr(graph, "fresh_dir", lambda s, label: folders.append(fresh(s, label)) or folders[-1])
+    rng = random.Random(14)
+    parents = {(0, k): [k - 1] for k in range(1, 2000)} | {(0, 0): []}
+    for job in range(1, 12):
+        for k in range(rng.randrange(1, 120)):
+            far = rng.random() < 0.08
+            parents[(job, k)] = sorted({k - 1, rng.randrange(k)}) if k and far else [k - 1] if k else []
+    # Job 20: a chain behind a cycle, job 21: a chain that a cycle feeds into, job 22: a parent outside.
+    parents |= {(20, k): [k - 1] for k in range(1, 30)} | {(20, 0): [4]}
+    parents |= {(21, k): [k - 1] for k in range(1, 9)} | {(21, 0): [], (21, 20): [21], (21, 21): [20], (21, 5): [4, 20]}
+    parents |= {(22, 0): [99], (22, 1): [0], (22, 2): []}
+    cost = {node: rng.randint(0, 50) for node in parents}
+    best = {}
+    for _ in range(2001):
+        late = [n for n, ps in parents.items() if n not in best and all((n[0], p) in best for p in ps)]
+        if not late:
+            break
+        for n in late:
+            above = [best[(n[0], p)] for p in parents[n]]
+            best[n] = (1 + max((a[0] for a in above), default=-1), cost[n] + max((a[1] for a in above), default=0))
+    nodes = spark.createDataFrame([("a", *n, cost[n], 0) for n in parents], "app_key string, job_id long, stage_id long, w long, _w0 long")
+    edges = spark.createDataFrame([("a", *n, p) for n, ps in parents.items() for p in ps], "app_key string, job_id long, stage_id long, parent_id long")
+    got = {(r.job_id, r.stage_id): (r.level, r.w) for r in graph.longest_paths(nodes, edges, ["w"]).collect()}
+    assert got == {n: best.get(n, (None, None)) for n in parents}
+    assert got[(0, 1999)][0] == 1999
+    assert sum(len(os.listdir(folder)) for folder in folders) < 40
+
+
 def test_whatif_bounds_hold(spark):
     """Longest-task-first schedules lie between the bounds; checked for whole stages."""
     import heapq
