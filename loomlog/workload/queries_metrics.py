@@ -831,12 +831,49 @@ def whatif_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("join_snippet_lines")
+#: A file's first place that passes a test on line number i; lists count from 1.
+_FIRST_PLACE = "list_filter(range(1, len(lines) + 1), lambda i: {})[1]"
+_TRIMMED = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160))"
+_SAME_BLOCK = "lines[i] = wanted[1] and lines[i : i + len(wanted) - 1] = wanted"
+_NEAR = "lines[i] = wanted[1] and (len(wanted) = 1 or list_contains(lines[i + 1 : i + len(wanted) + 2], wanted[2]))"
+_PART = (
+    "length(lines[i]) >= 15 and len(list_filter(wanted, lambda t: length(t) >= 15"
+    " and (contains(t, lines[i]) or contains(lines[i], substring(t, 1, 50))))) > 0"
+)
+SNIPPETS = f"""
+select app_key, finding_no, arg_min(a, place) as line_start, arg_min(b, place) as line_end
+from (select concat('app-', cast(app as string)) as app_key, finding_no, place,
+    case when spot > 0 then at_line else first_line end as a,
+    case when spot > 0 then at_line + breaks else first_line + len(wanted) - 1 end as b
+  from (select *, len(string_split(substring(src, 1, spot - 1), chr(10))) as at_line,
+      len(string_split(snippet, chr(10))) - 1 as breaks,
+      case when spot = 0 and len(wanted) > 0 then coalesce({_FIRST_PLACE.format(_SAME_BLOCK)}, {_FIRST_PLACE.format(_NEAR)},
+        {_FIRST_PLACE.format(_PART)}) end as first_line
+    from (select f.app, f.finding_no, f.snippet, f.wanted, d.src, d.lines, case when d.ord = 2 then -1 else d.ord end as place,
+        case when f.snippet <> '' then position(f.snippet in d.src) else 0 end as spot
+      from (select app, finding_no, snippet,
+          list_filter(list_transform(string_split(snippet, chr(10)), lambda x: {_TRIMMED.format('x')}), lambda x: x <> '') as wanted
+        from (select app, ord as finding_no, trim(replace(case ord when 0 then quoted
+              when 1 then concat('  ', replace(quoted, chr(10), concat('  ', chr(10), chr(10), ' ')))
+              when 2 then concat(parts[1], chr(10), 'no such line') else concat('# ', substring(parts[-1], 1, 200), ' #') end,
+            concat(chr(13), chr(10)), chr(10)), chr(10)) as snippet
+          from (select *, array_to_string(parts[greatest(len(parts) // 2, 1) : greatest(len(parts) // 2, 1) + 2], chr(10)) as quoted
+            from (select doc_id // 4 as app, doc_id % 4 as ord, string_split(text, chr(10)) as parts from documents) x) y) z) f
+      join (select app, ord, src, list_transform(string_split(src, chr(10)), lambda x: {_TRIMMED.format('x')}) as lines
+        from (select doc_id // 4 as app, doc_id % 4 as ord, replace(text, concat(chr(13), chr(10)), chr(10)) as src from documents) x) d
+        on f.app = d.app) pairs) hits) found
+where a is not null group by 1, 2"""
+
+
+@query(
+    "join_snippet_lines",
+    f"""
+select k.app_key, k.finding_no, h.line_start, h.line_end
+from (select concat('app-', cast(doc_id // 4 as string)) as app_key, doc_id % 4 as finding_no from documents) k
+left join ({SNIPPETS}) h on k.app_key = h.app_key and k.finding_no = h.finding_no""",
+)
 def join_snippet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as source files, four per report, quoted in different ways.
-
-    No SQL says this in reasonable time; the operator is tested against a plain search.
-    """
+    """Documents as source files, four per report, quoted in different ways."""
     documents = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("app-"), F.floor(F.col("doc_id") / 4).cast("string")).alias("app_key"),
         F.concat(F.lit("f"), (F.col("doc_id") % 4).cast("string"), F.lit(".py")).alias("file_name"),
