@@ -107,7 +107,15 @@ class _Pieces(_Table):
             word = piece.rstrip(".,")
             if word.isalpha():
                 return self[word] + self._points[piece[len(word) :]]
-        return self._cut(" " + piece) if "\n" in piece else super().__missing__(piece)
+        if "\n" not in piece:
+            return super().__missing__(piece)
+        left, _, right = piece.partition("\n")
+        first = right.rstrip(".,")
+        if first.isalpha() and left.rstrip(".,").isalpha():
+            points = right[len(first) :]
+            known = self._points
+            return self[left] + known["\n"] + known[first] + (known[points] if points else b"")
+        return self._cut(" " + piece)
 
 
 class Encoder:
