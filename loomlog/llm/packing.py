@@ -100,6 +100,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
                 ],
                 names=["doc_id", "doc_tokens", "full", "rest"],
             )
+        encoder(vocabulary).rest()
 
     def pack_group(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_tokens", "doc_id", "rest"], ascending=False, kind="stable")

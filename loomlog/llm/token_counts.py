@@ -73,5 +73,6 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, rule: str = "fi
             yield pa.RecordBatch.from_arrays(
                 [ids, *columns], names=["doc_id", "section", "start_char", "n_chars", "n_tokens", "n_crossing"]
             )
+        encoder(vocabulary).rest()
 
     return rows.mapInArrow(count, COUNTS)

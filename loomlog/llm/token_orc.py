@@ -73,6 +73,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
                 names=["part", "place", "doc_id", "part_start", "n_tokens", "ids"],
             )
             place, before = place + len(data), before + int(ends[-1]) if len(data) else before
+        encoder(vocabulary).rest()
 
     writer = ordered.mapInArrow(encode, STORED).write
     for key, value in ORC_OPTIONS.items():

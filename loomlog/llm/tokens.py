@@ -24,7 +24,7 @@ PRETOKEN = (
 )
 END_ID = 0
 #: Bytes of answers in each of a table's two generations, an entry's own bytes, and the longest key.
-PIECES_BYTES, WORDS_BYTES = 24 << 20, 8 << 20
+PIECES_BYTES, WORDS_BYTES = 44 << 20, 12 << 20
 ENTRY_BYTES = 150
 LONGEST_KEPT = 64
 
@@ -93,6 +93,10 @@ class _Table(dict):
             self._older, self._bytes = dict(self), 0
             self.clear()
 
+    def rest(self) -> None:
+        """Lets the older generation go, as other stages of the worker need memory, too."""
+        self._older = {}
+
 
 class _Pieces(_Table):
     """The same for pieces; words with points after them and pieces over a line's end, which
@@ -163,6 +167,11 @@ class Encoder:
                 found.append(self._part(text))
         return found
 
+    def rest(self) -> None:
+        """To be called at the end of a task."""
+        self._known.rest()
+        self._pieces.rest()
+
     def _part(self, text: str) -> bytes:
         head, *parts = _BEFORE_WORD.split(text) if _LOOSE_SPACE.search(text) else text.split(" ")
         return self._cut(head) + b"".join(map(self._pieces.__getitem__, parts))
