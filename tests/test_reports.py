@@ -14,7 +14,7 @@ from logs import (
     log_from,
     stage,
     task,
-    two_stage_log,
+    forked_log,
 )
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ def rows_by(df, *keys):
 
 @pytest.fixture(scope="module")
 def full(spark):
-    log = log_from(spark, two_stage_log())
+    log = log_from(spark, forked_log())
     table = stages.stage_table(log)
     cluster = apps.cluster_capacity(log)
     return log, table, cluster, stages.stage_report(table, cluster)
@@ -38,33 +38,34 @@ def full(spark):
 def test_cluster(full):
     log, table, cluster, _ = full
     row = apps.cluster_report(cluster, table).first()
-    assert (row.peak_executors, row.cores_per_executor, row.total_cores) == (2, 2, 4)
-    assert (row.memory_mb, row.overhead_mb) == (4096, 512)
-    assert row.available_core_ms == 2 * 1000 * 2
-    assert row.used_core_ms == 1100
+    assert (row.peak_executors, row.cores_per_executor, row.total_cores) == (3, 4, 12)
+    assert (row.memory_mb, row.overhead_mb) == (8192, 1024)
+    # Two executors for 8 s, one for 6 s, four cores each.
+    assert row.available_core_ms == 4 * (8_000 + 8_000 + 6_000)
+    assert row.used_core_ms == 4_900 + 4_800 + 800
 
 
 def test_stage_measures(full):
     report = rows_by(full[3], "stage_id")
-    ten, eleven = report[10], report[11]
-    assert ten.run_ms == 700 and ten.n_accepted == 2 and ten.n_filtered == 0
-    assert ten.used_pct == 35.0 and ten.wasted_pct == 65.0
-    assert ten.median_task_ms == 500 and ten.task_skew == 1.0 and ten.avg_task_ms == 350.0
-    assert round(ten.skew_avg_ratio, 3) == 1.429
-    assert ten.shuffle_read_bytes == 150 and ten.disk_spill_bytes == 10
-    assert ten.job_id == 1 and ten.ideal_wall_ms == 175
-    assert eleven.gc_pct == 15.0 and eleven.shuffle_write_pct == 15.0
-    assert eleven.fetch_wait_pct == 12.5 and eleven.oi_ratio == 3.0
-    assert eleven.parent_ids == [10]
+    load, join, tally = report[3], report[4], report[5]
+    assert (load.run_ms, load.n_accepted, load.n_filtered, load.job_id) == (1_000 + 1_500 + 2_400, 3, 0, 7)
+    assert load.used_pct == pytest.approx(100 * 4_900 / (12 * 2_400)) and load.used_pct + load.wasted_pct == pytest.approx(100)
+    assert (load.median_task_ms, load.task_skew, load.ideal_wall_ms) == (1_500, 1.6, 4_900 // 12)
+    assert load.skew_avg_ratio == pytest.approx(2_400 * 3 / 4_900) and load.gc_pct == pytest.approx(15_000 / 4_900)
+    assert load.oi_ratio == pytest.approx(800 / 12_000)
+    # Of two tasks the upper one is the median.
+    assert (join.median_task_ms, join.task_skew, join.avg_task_ms) == (2_800, 1.0, 2_400.0)
+    assert (join.shuffle_read_bytes, join.disk_spill_bytes, join.fetch_wait_pct) == (600, 64, 12.5)
+    assert join.shuffle_write_pct == pytest.approx(100 * 400 / 4_800) and join.oi_ratio == (650 + 1_600) / 600
+    assert tally.gc_pct == 25.0 and join.parent_ids == tally.parent_ids == [3]
 
 
 def test_driver_time(full):
     log, table, _, _ = full
     split = intervals.driver_split(table, apps.app_meta(log)).first()
-    assert (split.driver_time_ms, split.executor_time_ms, split.driver_pct) == (300, 700, 30.0)
-    gaps = rows_by(intervals.driver_gaps(table, apps.app_meta(log)), "label")
-    assert set(gaps) == {"pre_first_stage", "post_last_stage"}
-    assert gaps["pre_first_stage"].gap_ms == 100 and gaps["post_last_stage"].gap_ms == 200
+    assert (split.executor_time_ms, split.driver_time_ms, split.driver_pct) == (2_400 + 2_800, 2_800, 35.0)
+    gaps = {label: r.gap_ms for label, r in rows_by(intervals.driver_gaps(table, apps.app_meta(log)), "label").items()}
+    assert gaps == {"pre_first_stage": 600, "inter_stage_gap": 200, "post_last_stage": 2_000}
 
 
 def test_hosts_jobs_versions(full):
@@ -73,14 +74,15 @@ def test_hosts_jobs_versions(full):
 
     marked = mark_tasks(log.tasks, stage_state(log.stage_events))
     hosts = rows_by(rollups.host_rollup(marked, log.executor_events), "host")
-    assert hosts["host-a"].tasks == 2 and hosts["host-a"].n_executors == 1
-    assert rows_by(rollups.host_executors(marked, log.executor_events), "host")["host-a"].executor_ids == ["1"]
+    assert {h: (r.tasks, r.n_executors) for h, r in hosts.items()} == {"rack1": (4, 2), "rack2": (2, 1)}
+    lists = rows_by(rollups.host_executors(marked, log.executor_events), "host")
+    assert lists["rack1"].executor_ids == ["a1", "a2"] and lists["rack2"].executor_ids == ["b1"]
     meta = apps.app_meta(log).first()
-    assert meta.log_version == "4.0.1" and meta.spark_version == "unknown"
+    assert meta.log_version == "3.5.4" and meta.spark_version == "unknown"
     job_row = apps.jobs(log).first()
-    assert job_row.stage_ids == [10, 11] and job_row.duration_ms == 700
+    assert job_row.stage_ids == [3, 4, 5] and job_row.duration_ms == 7_000
     idle = apps.driver_idle(apps.app_meta(log), apps.jobs(log)).first()
-    assert idle.idle_ms == 300 and idle.driver_idle_pct == 30.0
+    assert idle.idle_ms == 1_000 and idle.driver_idle_pct == 12.5
 
 
 def test_levels_and_paths(full):
@@ -88,15 +90,15 @@ def test_levels_and_paths(full):
     pairs = apps.job_stages(apps.jobs(log))
     levels = graph.stage_levels(pairs, table)
     grouped = rows_by(graph.parallel_groups(apps.jobs(log), levels, table), "level")
-    assert grouped[0].stages == [10] and grouped[1].stages == [11]
-    assert grouped[0].duration_ms == 500
+    assert grouped[0].stages == [3] and grouped[1].stages == [4, 5]
+    assert (grouped[0].duration_ms, grouped[1].duration_ms) == (2_400, 2_800)
     paths = graph.critical_paths(pairs, table, {"w": F.col("max_task_ms")})
-    assert paths.first().w == 900
+    assert paths.first().w == 2_400 + 2_800
     grid = rows_by(graph.whatif_bounds(cluster, apps.jobs(log), pairs, table), "pct")
     assert len(grid) == 12
-    assert grid[100].target_executors == 2 and grid[10].target_executors == 1
-    # Two tasks on four slots: both bounds are the longest tasks plus driver time.
-    assert grid[100].lower_ms == 300 + 500 + 400
+    assert grid[100].target_executors == 3 and grid[10].target_executors == 1
+    # Fewer tasks than slots: both stages of the path take their longest task, plus driver time.
+    assert grid[100].lower_ms == 1_000 + 2_400 + 2_800
     assert all(r.lower_ms <= r.upper_ms for r in grid.values())
 
 

@@ -329,9 +329,9 @@ def test_locate_snippets(spark):
 
 def test_row_order_does_not_matter(spark):
     """Shuffled lines with fixed positions give the same stage table."""
-    from logs import two_stage_log
+    from logs import forked_log
 
-    log = log_from(spark, two_stage_log())
+    log = log_from(spark, forked_log())
     shuffled = log._replace(**{
         n: getattr(log, n).repartition(3).orderBy(F.rand(9)) for n in ("tasks", "stage_events", "job_starts")
     })
