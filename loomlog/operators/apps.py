@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog import schema as S
 from loomlog.functions.scalars import safe_pct, spark_version
+from loomlog.operators.scan import FAN_BITS, TIME_BITS, carried
 from loomlog.sources.events import JobLog
 from loomlog.spread import salted_join
 
 APP = ["app_key"]
-TICK_BUCKET_MS = 2**16
 
 
 def app_events(log: JobLog) -> DataFrame:
@@ -122,14 +122,17 @@ def executor_dim(log: JobLog) -> DataFrame:
 
 
 def peak_concurrency(
-    ticks: DataFrame, keys: list[str], ts: str = "ts_ms", bucket_ms: int = TICK_BUCKET_MS
+    ticks: DataFrame,
+    keys: list[str],
+    ts: str = "ts_ms",
+    bits: int = TIME_BITS,
+    fan_bits: int = FAN_BITS,
 ) -> DataFrame:
     """Peak of a counter that goes +1 on ``add`` and -1 on ``remove`` but never below 0.
 
     Additions come before removals at the same time. With S the unclamped running sum the
     clamped counter is ``S - min(0, lowest S so far)``. Events are first folded per time
-    stamp, then scanned inside buckets of ``bucket_ms`` (at most that many rows each), and
-    only bucket totals are scanned across a whole key.
+    stamp; sum and lowest sum are carried over ranges of time (``scan.carried``).
     """
     folded = (
         ticks.groupBy(*keys, F.col(ts).alias("_t"))
@@ -137,26 +140,14 @@ def peak_concurrency(
             F.count_if(F.col("kind") == "add").alias("_up"),
             F.count_if(F.col("kind") == "remove").alias("_down"),
         )
-        .withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_ms)))
+        .withColumn("_net", F.col("_up") - F.col("_down"))
+        .withColumn("_dip", F.col("_net"))
     )
-    by_time = Window.partitionBy(*keys, "_b").orderBy("_t")
-    upto = by_time.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = by_time.rowsBetween(Window.unboundedPreceding, -1)
-    local = folded.withColumn("_sum", F.sum(F.col("_up") - F.col("_down")).over(upto))
-    local = local.withColumn("_low", F.min("_sum").over(earlier))
-    totals = local.groupBy(*keys, "_b").agg(
-        F.sum(F.col("_up") - F.col("_down")).alias("_net"), F.min("_sum").alias("_dip")
-    )
-    by_bucket = Window.partitionBy(*keys).orderBy("_b")
-    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.withColumn("_base", F.coalesce(F.sum("_net").over(before), F.lit(0)))
-    bases = bases.withColumn("_floor", F.min(F.col("_base") + F.col("_dip")).over(before))
-    joined = local.join(bases.select(*keys, "_b", "_base", "_floor"), [*keys, "_b"])
-    lowest = F.least(F.lit(0), F.col("_floor"), F.col("_base") + F.col("_low"))
-    after_adds = F.col("_base") + F.col("_sum") + F.col("_down")
+    scanned = carried(folded, keys, "_t", {"_net": "sum", "_dip": "low:_net"}, bits, fan_bits)
+    lowest = F.least(F.lit(0), F.col("_dip_before"))
     # A pure removal lowers the counter, so it can never set the peak.
-    level = F.when(F.col("_up") > 0, after_adds - lowest).otherwise(F.lit(0))
-    return joined.groupBy(*keys).agg(F.max(level).alias("peak"))
+    level = F.when(F.col("_up") > 0, F.col("_net_before") + F.col("_up") - lowest).otherwise(F.lit(0))
+    return scanned.groupBy(*keys).agg(F.max(level).alias("peak"))
 
 
 def cluster_capacity(log: JobLog, executors: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 Pick = Callable[[Column], Column]
 
+VALUE_BITS = 44
+DIGIT_BITS = 13
+
 
 def upper_median(n: Column) -> Column:
     """0-based index ``n // 2``."""
@@ -20,57 +23,69 @@ def p95(n: Column) -> Column:
     return F.floor(n.cast("double") * F.lit(0.95)).cast("bigint")
 
 
-def value_bucket(value: Column) -> Column:
-    """Order-preserving bucket: the six leading bits of the magnitude and its length."""
+def value_bucket(value: Column, more_bits: int = 0) -> Column:
+    """Order-preserving bucket: the length of the magnitude and its leading bits, six or more.
+
+    With ``more_bits`` buckets are finer, and keep order only inside one of the coarse ones.
+    """
     size = F.abs(value)
     shift = F.when(size < 64, F.lit(0)).otherwise(F.floor(F.log2(size)).cast("int") - 5)
-    bucket = shift * F.lit(64) + F.call_function("shiftright", size, shift)
+    if more_bits:
+        bucket = F.call_function("shiftright", size, F.greatest(shift - more_bits, F.lit(0)))
+    else:
+        bucket = shift * F.lit(64) + F.call_function("shiftright", size, shift)
     return (F.signum(value) * bucket).cast("bigint")
 
 
 def rank_select(
-    rows: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Pick]
+    rows: DataFrame, keys: Sequence[str], value: str, picks: dict[str, Pick], bits: int = VALUE_BITS
 ) -> DataFrame:
     """``keys`` plus, per pick, the value at its 0-based index in sorted order.
 
     Values are first counted per (keys, value), which combines on the map side. Counts are
     summed into at most a few thousand buckets per key; a running sum over the buckets
-    finds the one that holds each wanted index, and only the distinct values of that bucket
-    are ranked. No window ever spans the rows of a group.
+    finds the one that holds each wanted index. Only the values of such buckets go on, and each
+    further round cuts a bucket by the next ``DIGIT_BITS`` bits, until the last ranks single
+    values. For magnitudes below ``2**bits`` no window holds more than ``2**DIGIT_BITS`` rows
+    or those few thousand; larger ones stay right, and only the last window gets longer.
     """
     keys = list(keys)
-    counts = (
-        rows.groupBy(*keys, F.col(value).cast("bigint").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", value_bucket(F.col("_v")))
-    )
-    buckets = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    counts = rows.groupBy(*keys, F.col(value).cast("bigint").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     whole_key = Window.partitionBy(*keys)
-    running = whole_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    spans = buckets.select(
-        *keys,
-        "_b",
-        (F.sum("_bc").over(running) - F.col("_bc")).alias("_before"),
-        "_bc",
-        F.sum("_bc").over(whole_key).alias("_n"),
-    )
-    wanted = {name: pick(F.col("_n")) for name, pick in picks.items()}
-    inside = F.lit(False)
-    for index in wanted.values():
-        inside = inside | ((index >= F.col("_before")) & (index < F.col("_before") + F.col("_bc")))
-    hits = spans.filter(inside).select(*keys, "_b", "_before", "_n")
-    in_bucket = (
-        Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = counts.join(hits, [*keys, "_b"], "inner").withColumn(
-        "_upto", F.col("_before") + F.sum("_c").over(in_bucket)
-    )
+    path = [*keys, "_b0"]
+    buckets = counts.withColumn("_b0", value_bucket(F.col("_v")))
+    totals = buckets.groupBy(*path).agg(F.sum("_c").alias("_bc"))
+    spans = totals.withColumn("_n", F.sum("_bc").over(whole_key)).withColumn("_start", F.lit(0).cast("bigint"))
+    hits = _hits(spans, keys, "_b0", picks)
+    held = buckets.join(hits, path)
+    for digit in range(1, max(0, -(-(bits - 6) // DIGIT_BITS))):
+        name = f"_b{digit}"
+        cut = held.withColumn(name, value_bucket(F.col("_v"), digit * DIGIT_BITS))
+        totals = cut.groupBy(*path, name).agg(
+            F.sum("_c").alias("_bc"), F.max("_n").alias("_n"), F.max("_start").alias("_start")
+        )
+        hits = _hits(totals, path, name, picks)
+        path = [*path, name]
+        held = cut.drop("_n", "_start").join(hits, path)
+    in_bucket = Window.partitionBy(*path).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = held.withColumn("_upto", F.col("_start") + F.sum("_c").over(in_bucket))
     found = [
-        F.max(
-            F.when(
-                (index >= F.col("_upto") - F.col("_c")) & (index < F.col("_upto")), F.col("_v")
-            )
-        ).alias(name)
-        for name, index in wanted.items()
+        F.max(F.when(_within(pick, F.col("_upto") - F.col("_c"), F.col("_upto")), F.col("_v"))).alias(name)
+        for name, pick in picks.items()
     ]
     return ranked.groupBy(*keys).agg(*found)
+
+
+def _within(pick: Pick, start: Column, end: Column) -> Column:
+    index = pick(F.col("_n"))
+    return (index >= start) & (index < end)
+
+
+def _hits(totals: DataFrame, group: list[str], bucket: str, picks: dict[str, Pick]) -> DataFrame:
+    """The buckets of each group that hold a wanted index, with the count before them."""
+    running = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    spans = totals.withColumn("_start", F.col("_start") + F.sum("_bc").over(running) - F.col("_bc"))
+    inside = F.lit(False)
+    for pick in picks.values():
+        inside = inside | _within(pick, F.col("_start"), F.col("_start") + F.col("_bc"))
+    return spans.filter(inside).select(*group, bucket, "_start", "_n")

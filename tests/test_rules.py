@@ -85,6 +85,56 @@ def test_rank_select(spark):
         assert got[k].p95 == ordered[int(len(vs) * 0.95)], k
 
 
+def test_ranks_of_a_million_values_in_bounded_windows(spark, monkeypatch):
+    """10**6 distinct values around 2**40, and as many small ones that decide the index."""
+    sizes = []
+    hits = ranks._hits
+
+    def measured(totals, group, bucket, picks):
+        sizes.append(totals.groupBy(*group).count().agg(F.max("count")).first()[0])
+        return hits(totals, group, bucket, picks)
+
+    monkeypatch.setattr(ranks, "_hits", measured)
+    rows = spark.range(10**6).select(F.lit("k").alias("k"), (F.lit(2**40) + F.col("id") * 7919).alias("v"))
+    got = ranks.rank_select(rows, ["k"], "v", {"mid": ranks.upper_median, "p95": ranks.p95}).first()
+    assert (got.mid, got.p95) == (2**40 + 500_000 * 7919, 2**40 + 950_000 * 7919)
+    assert len(sizes) == 3 and max(sizes) <= 2**ranks.DIGIT_BITS
+
+
+def test_windows_of_ten_years_stay_within_the_fan_out(spark):
+    """A tick every five minutes for ten years, one key: the counter and the merged intervals."""
+    n, step, fan_bits = 10 * 365 * 288, 300_000, 12
+    start = F.lit(1_600_000_000_000) + F.col("id") * step
+    kind = F.when(F.col("id") % 3 < 2, "add").otherwise("remove")
+    ticks = spark.range(n).select(F.lit("a").alias("k"), start.alias("ts_ms"), kind.alias("kind"))
+    adds, removes = n - n // 3, n // 3
+    assert apps.peak_concurrency(ticks, ["k"]).first().peak in (adds - removes, adds - removes + 1)
+    widest = max(
+        ticks.select(F.shiftright("ts_ms", low).alias("at")).distinct()
+        .groupBy(F.shiftright("at", fan_bits)).count().agg(F.max("count")).first()[0]
+        for low in (0, 12, 24)
+    )
+    assert widest <= 2**fan_bits
+    spans = ticks.withColumn("end", F.col("ts_ms") + F.when(F.col("kind") == "add", step).otherwise(step // 2))
+    merged = intervals.merge_intervals(spans, ["k"], "ts_ms", "end").selectExpr("end_ms - start_ms as d")
+    assert {tuple(r) for r in merged.groupBy("d").count().collect()} == {(step * 2 + step // 2, n // 3)} | (
+        set() if n % 3 == 0 else {((n % 3) * step, 1)}
+    )
+
+
+def test_state_is_as_long_as_a_stage_has_attempts(spark):
+    """10**5 events of one stage in three attempts."""
+    events = spark.range(100_000).select(
+        F.lit("a").alias("app_key"), F.lit(1).cast("bigint").alias("stage_id"), F.col("id").alias("seq"),
+        F.floor(F.col("id") / 40_000).alias("attempt_id"), F.col("id").alias("submission_ms"),
+        F.lit(0).cast("bigint").alias("completion_ms"), F.lit("s").alias("stage_name"),
+        F.array().cast("array<bigint>").alias("parent_ids"),
+    )
+    row = attempts.stage_state(events).first()
+    assert sorted((s.attempt_id, s.seq) for s in row.steps) == [(0, 0), (1, 40_000), (2, 80_000)]
+    assert (row.reset_seq, row.start_seq, row.start_event_ms, row.end_seq) == (80_000, 99_999, 99_999, None)
+
+
 def test_bucket_keeps_order(spark):
     rng = random.Random(1)
     values = sorted({rng.randint(-(2**62), 2**62) >> rng.randint(0, 61) for _ in range(5000)} | set(range(-300, 300)))
@@ -102,8 +152,9 @@ def test_peak_concurrency(spark):
     rows = spark.createDataFrame(
         [(n, t, k) for n, ts in ticks.items() for t, k in ts], "n long, ts_ms long, kind string"
     )
-    for bucket in (1, 7, 1000):
-        got = {r.n: r.peak for r in apps.peak_concurrency(rows, ["n"], bucket_ms=bucket).collect()}
+    for scale, bits, fan_bits in ((1, 6, 1), (1, 4, 2), (1, 3, 3), (2**35, 44, 12)):
+        scaled = rows.withColumn("ts_ms", F.col("ts_ms") * scale)
+        got = {r.n: r.peak for r in apps.peak_concurrency(scaled, ["n"], bits=bits, fan_bits=fan_bits).collect()}
         assert got == {n: model_peak(ts) for n, ts in ticks.items()}
 
 
@@ -114,11 +165,12 @@ def test_merge_intervals(spark):
         starts = [rng.randint(1, 300) for _ in range(rng.randint(1, 20))]
         spans[n] = [(s, s + rng.choice([0, 3, 40])) for s in starts]
     rows = spark.createDataFrame([(n, s, e) for n, v in spans.items() for s, e in v], "n long, s long, e long")
-    for bucket in (1, 16, 10_000):
-        merged = intervals.merge_intervals(rows, ["n"], "s", "e", bucket_ms=bucket).collect()
+    for scale, bits, fan_bits in ((1, 9, 3), (1, 4, 2), (1, 3, 3), (2**34, 44, 12)):
+        scaled = rows.select("n", F.col("s") * scale, F.col("e") * scale).toDF("n", "s", "e")
+        merged = intervals.merge_intervals(scaled, ["n"], "s", "e", bits=bits, fan_bits=fan_bits).collect()
         got = {}
         for r in merged:
-            got.setdefault(r.n, []).append((r.start_ms, r.end_ms))
+            got.setdefault(r.n, []).append((r.start_ms // scale, r.end_ms // scale))
         assert {n: sorted(v) for n, v in got.items()} == {n: model_merge(v) for n, v in spans.items()}
 
 
