@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomlog.session import materialize
+from loomlog.spread import salted_join
 
 BITS = 128
 RADIUS = 3
@@ -212,7 +213,10 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     near = prints.join(near, ["h1", "h2"], "left").select(
         "h1", "h2", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_near")
     )
-    found = own.join(after, "key").join(following, "next_key").join(near, ["h1", "h2"])
+    found = own.join(after, "key").join(following, "next_key")
+    # All copies of a text share a fingerprint, so they are spread; most others have no neighbour.
+    found = salted_join(found, near.filter("n_near > 0"), ["h1", "h2"], ["key"])
+    found = found.withColumn("n_near", F.coalesce("n_near", F.lit(0)))
     return found.select(
         "doc_id",
         "n_chars",
