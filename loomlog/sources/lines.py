@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_STEP = 2**46  # seq distance between two files of one application
@@ -17,6 +17,17 @@ def strip_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("line", trimmed).filter(F.col("line") != "")
 
 
+def app_of_path(path: Column) -> Column:
+    """The application a log file belongs to: see ``text_lines``."""
+    rolling = F.regexp_extract(path, r"/eventlog_v2_([^/]+)/[^/]+$", 1)
+    plain = F.regexp_replace(
+        F.regexp_extract(path, r"([^/]+)$", 1),
+        r"\.(gz|zst|zstd|lz4|snappy|bz2|inprogress|txt|json)$",
+        "",
+    )
+    return F.coalesce(F.nullif(rolling, F.lit("")), plain)
+
+
 def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``app_key, file_name, seq, line`` of event logs below ``paths``.
 
@@ -28,16 +39,10 @@ def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """
     raw = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
     path = F.col("_metadata.file_path")
-    rolling = F.regexp_extract(path, r"/eventlog_v2_([^/]+)/[^/]+$", 1)
-    plain = F.regexp_replace(
-        F.regexp_extract(path, r"([^/]+)$", 1),
-        r"\.(gz|zst|zstd|lz4|snappy|bz2|inprogress|txt|json)$",
-        "",
-    )
     file_no = F.regexp_extract(path, r"/events_(\d+)_[^/]*$", 1).try_cast("bigint")
     row = F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_MASK))
     lines = raw.select(
-        F.coalesce(F.nullif(rolling, F.lit("")), plain).alias("app_key"),
+        app_of_path(path).alias("app_key"),
         F.regexp_extract(path, r"([^/]+)$", 1).alias("file_name"),
         (
             F.coalesce(file_no, F.lit(0)) * F.lit(FILE_STEP)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,12 @@ from loomlog.operators import (
     stages,
 )
 from loomlog.operators.numbering import numbered
-from loomlog.session import materialize
+from loomlog.session import fresh_dir, materialize
 from loomlog.spread import at_least_cores
+from loomlog.streaming.stage_tasks import Snapshots, rollup_lines
 from loomlog.workload.oracle_views import ALL_SUMS, STAGE_SUMS, pct, ratio, sc
 from loomlog.workload.registry import query
-from loomlog.workload.views import prepared_log, stored_table, table
+from loomlog.workload.views import prepared_lines, prepared_log, stored_table, table
 
 KEYS = ["app_key", "stage_id"]
 
@@ -82,6 +85,25 @@ def agg_stage_tasks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.stage_tasks_all(prepared_log(spark, sf_dir).tasks).select(*KEYS, *ALL_COLUMNS)
 
 
+@query(
+    "stream_stage_tasks",
+    f"select app_key, stage_id, {', '.join(ALL_COLUMNS)} from o_stage_all",
+)
+def stream_stage_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rollup as a stream over the log's files, stopped after a batch and taken up again."""
+    lines = prepared_lines(spark, sf_dir)
+    files = lines.inputFiles()
+    raw = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", -(-len(files) // 3))
+    rows = rollup_lines(raw.parquet(os.path.dirname(files[0]))).select(*KEYS, *ALL_COLUMNS)
+    snapshots = Snapshots(fresh_dir(spark, "stream"))
+    first = snapshots.start(rows)
+    while snapshots.latest is None and not first.awaitTermination(1):
+        pass
+    first.stop()
+    snapshots.start(rows).awaitTermination()
+    return snapshots.read(spark)
+
+
 ACCEPTED = [*STAGE_SUMS, "n_accepted", "n_filtered", "min_task_ms", "max_task_ms", "peak_mem_bytes"]
 
 

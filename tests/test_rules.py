@@ -285,6 +285,21 @@ def test_simplify(spark):
     assert nodes.filter("seq = 301").count() == 501
 
 
+def test_unread_plans_are_rows(spark):
+    """A broken plan, a list and one of 200,000 levels end no task and are accounted for."""
+    from loomlog.plans.flatten import flatten_plans, unread_plans
+
+    deep = '{"nodeName":"x","children":[' * 200_000 + "]}" * 200_000
+    texts = ['{"nodeName":"x"}', '{"nodeName":', "[1]", deep, None]
+    starts = spark.createDataFrame(
+        [("a", n, n if n else None, t) for n, t in enumerate(texts)],
+        "app_key string, seq long, execution_id long, plan_json string",
+    )
+    assert [r.seq for r in flatten_plans(starts).collect()] == [0]
+    got = {(r.seq, r.execution_id, r.reason) for r in unread_plans(starts).collect()}
+    assert got == {(1, 1, "malformed"), (2, 2, "not an object"), (3, 3, "nested too deeply")}
+
+
 def test_select_executions(spark):
     """Whole selection against the two-pass rule, with duplicates and many writes."""
     from loomlog.plans.executions import select_executions
