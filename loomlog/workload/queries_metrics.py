@@ -790,8 +790,6 @@ def graph_parallel_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "graph_critical_path",
     """
-select app_key, job_id, max(hi) as work_ms from o_priced_walk where pct = 10 and 1 = 0 group by 1, 2
-union all
 select app_key, job_id, max(total) as work_ms from (
   with recursive w as (
     select s.app_key, s.job_id, s.stage_id, o.run_ms as total from v_job_stage s join o_stage o using (app_key, stage_id)
@@ -822,9 +820,7 @@ def cross_whatif_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("app_key", "pct", "target_executors")
 
 
-@query(
-    "whatif_bound",
-    f"""
+WHATIF = f"""
 select app_key, pct, target_executors, lower_ms, upper_ms,
   {sc(pct('run_ms', 'lower_ms * target_executors * cores_per_executor'))} as utilization_hi_pct_x1000,
   {sc(pct('run_ms', 'upper_ms * target_executors * cores_per_executor'))} as utilization_lo_pct_x1000
@@ -839,8 +835,10 @@ from (select c.app_key, cast(p.pct as bigint) as pct, greatest(1, c.peak_executo
     using (app_key)) t
 union all
 select app_key, cast(unnest([10, 20, 50, 80, 100, 110, 120, 150, 200, 300, 400, 500]) as bigint), 1, 0, 0, 0, 0
-from o_only_plan""",
-)
+from o_only_plan"""
+
+
+@query("whatif_bound", WHATIF)
 def whatif_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
     job_rows = apps.jobs(log)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlog.functions.scalars import scaled
-from loomlog.operators import apps, rollups
+from loomlog.operators import apps, rollups, stages
 from loomlog.plans import executions as X
 from loomlog.plans.flatten import codegen_members, flatten_plans
 from loomlog.plans.simplify import simplify_plans
 from loomlog.reports import documents as D
 from loomlog.reports import lines as L
+from loomlog.reports import metrics as M
 from loomlog.operators.numbering import PART_ITEMS
 from loomlog.session import fresh_dir
-from loomlog.workload.oracle_views import sc
+from loomlog.workload.oracle_views import pct, rounded, sc
+from loomlog.workload.queries_metrics import RANKED, WHATIF
 from loomlog.workload.registry import query
 from loomlog.workload.views import prepared_log, stored_table, table
 
@@ -286,6 +288,139 @@ def sink_llm_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _rounded_x(expression: str, digits: int = 3) -> str:
+    """A measure as a report shows it, times 1000."""
+    return sc(rounded(expression, digits).replace("{{", "{").replace("}}", "}"))
+
+
+_PLACE = "lpad(cast({} as string), 20, '0')"
+_ENVIRONMENT = """
+select app_key, key, arg_max(value, seq) as value from v_env
+where key in ('spark.executor.memory', 'spark.executor.cores', 'spark.sql.shuffle.partitions') group by 1, 2"""
+
+#: Every record of the metric report: a label, two whole numbers and up to three measures.
+METRIC_REPORT = f"""
+select * from (with apps as (select app_key from o_app union select app_key from o_only_plan),
+jobs as (select app_key, job_id, start_ms, greatest(0, end_ms - start_ms) as duration_ms from v_job),
+gaps as (
+  select app_key, 'inter_stage_gap' as label, prev as a, start_ms as b
+  from (select app_key, start_ms, lag(end_ms) over (partition by app_key order by start_ms) as prev from o_island) t
+  where prev is not null
+  union all select a.app_key, 'pre_first_stage', a.start_ms, i.s
+  from o_app a join (select app_key, min(start_ms) as s from o_island group by 1) i using (app_key) where a.start_ms < i.s
+  union all select a.app_key, 'post_last_stage', i.e, a.end_ms
+  from o_app a join (select app_key, max(end_ms) as e from o_island group by 1) i using (app_key) where i.e < a.end_ms),
+hosts as (
+  select o.*, coalesce(o.host, r.host, 'unknown') as found_host
+  from o_task o left join o_registry r using (app_key, executor_id) where good and not stale),
+host_parts as (
+  select app_key, found_host, (rn - 1) // {PART_ITEMS} as part, count(*) as n from (
+    select *, row_number() over (partition by app_key, found_host order by executor_id) as rn
+    from (select distinct app_key, found_host, executor_id from hosts) d) e group by 1, 2, 3),
+host_sums as (
+  select app_key, found_host, count(*) as n, cast(sum(run_ms) as bigint) as run_ms, cast(sum(gc_ms) as bigint) as gc_ms
+  from hosts group by 1, 2)
+select app_key, 'app' as kind, '' as position, app_name as label, duration_ms as n, start_ms as amount,
+  {_rounded_x(pct('greatest(0, duration_ms - job_ms)', 'duration_ms'), 1)} as m1_x1000,
+  {_rounded_x('duration_ms / 60000.0e0', 1)} as m2_x1000, cast(null as bigint) as m3_x1000
+from o_app join (select app_key, cast(sum(duration_ms) as bigint) as job_ms from jobs group by 1) j using (app_key)
+union all select app_key, 'app', '', 'unknown', 0, 0, 0, 0, null from o_only_plan
+union all select app_key, 'cluster', '', '', total_cores, peak_executors, {_rounded_x('available_core_ms / 3600000.0e0')},
+  {_rounded_x('u.used / 3600000.0e0')}, {_rounded_x(pct('u.used', 'available_core_ms'))}
+from o_cluster join (select app_key, cast(sum(run_ms) as bigint) as used from o_stage group by 1) u using (app_key)
+union all select app_key, 'cluster', '', '', 0, 0, 0, 0, 0 from o_only_plan
+union all select app_key, 'driver_analysis', '', '', driver_time_ms, executor_time_ms, {_rounded_x('driver_pct')},
+  {_rounded_x('100.0e0 - driver_pct')}, null from o_split
+union all select app_key, 'driver_analysis', '', '', 0, 0, 0, 100000, null from o_only_plan
+union all select app_key, 'driver_intervals', {_PLACE.format('a')}, label, b - a, b, null, null, null from gaps
+union all select k.app_key, 'environment', '', coalesce(string_agg(e.key || '=' || e.value, ',' order by e.key), ''),
+  count(e.key), null, null, null, null from apps k left join ({_ENVIRONMENT}) e using (app_key) group by 1
+union all select app_key, 'jobs', {_PLACE.format('job_id')}, '', duration_ms, n, null, null, null
+from jobs join (select app_key, job_id, count(distinct stage_id) as n from v_job_stage group by 1, 2) s using (app_key, job_id)
+union all select app_key, 'job_timelines', {_PLACE.format('job_id')}, string_agg(stages, '|' order by level), count(*),
+  cast(sum(ms) as bigint), null, null, null
+from (select app_key, job_id, level, string_agg(cast(stage_id as string), ',' order by stage_id) as stages,
+    greatest(0, max(end_ms) - min(start_ms)) as ms
+  from o_level join o_envelope using (app_key, stage_id) group by 1, 2, 3) g group by 1, 2, 3
+union all select app_key, 'stages', {_PLACE.format('stage_id')}, stage_name, run_ms, n_accepted, {_rounded_x('skew_avg_ratio')},
+  {_rounded_x('used_pct')}, {_rounded_x('io_pct')} from o_report
+union all select app_key, 'scalability_bounds', {_PLACE.format('pct')}, '', lower_ms, upper_ms, null, null, null from ({WHATIF}) w
+union all select p.app_key, 'host_analysis', concat(p.found_host, ' ', {_PLACE.format('p.part')}), p.found_host,
+  case when p.part = 0 then h.n end, p.n, case when p.part = 0 then {_rounded_x(pct('h.gc_ms', 'h.run_ms'))} end, null, null
+from host_parts p join host_sums h using (app_key, found_host)
+union all select app_key, 'top_bottlenecks', {_PLACE.format('finding_rank')}, kind, stage_id, null, {_rounded_x('metric_value')},
+  null, null from ({RANKED}) r where finding_rank <= 5
+union all select app_key, 'task_run_times', concat({_PLACE.format('stage_id')}, ' ', {_PLACE.format('part')}), '', count(*),
+  cast(sum(run_ms) as bigint), null, null, null
+from (select app_key, stage_id, run_ms, (row_number() over (partition by app_key, stage_id order by seq) - 1) // {PART_ITEMS} as part
+  from o_task where kept and good) t group by 1, 2, 3, part) whole"""
+
+
+@query("sink_metric_report", METRIC_REPORT)
+def sink_metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all records of the metric report as JSON, reads them back and unfolds them."""
+    path = fresh_dir(spark, "metric-report")
+    table_rows = stored_table(spark, sf_dir, "stages", stages.stage_table)
+    M.metric_records(prepared_log(spark, sf_dir), table_rows).write.option("compression", "gzip").json(path)
+    records = spark.read.schema("app_key string, kind string, position string, record string").json(path)
+    ddl = (
+        "name string, label string, host string, type string, duration_ms bigint, start_ms bigint, end_ms bigint, "
+        "driver_idle_pct double, duration_min double, total_cores bigint, executor_count bigint, "
+        "available_core_hours double, used_core_hours double, cluster_utilization_pct double, driver_time_ms bigint, "
+        "executor_time_ms bigint, driver_pct double, executor_pct double, stage_ids array<bigint>, "
+        "parallel_groups array<struct<stages array<bigint>, duration_ms bigint>>, task_run_ms_total bigint, "
+        "task_count_accepted bigint, skew struct<skew_avg_ratio double>, one_core_hours struct<used_pct double>, "
+        "percentages struct<io_pct double>, lower_ms bigint, upper_ms bigint, task_count bigint, "
+        "executor_ids array<string>, gc_pct double, stage_id bigint, metric_value double, run_ms array<bigint>"
+    )
+    rows = records.select("app_key", "kind", "position", "record", F.from_json("record", ddl).alias("r"))
+    kind = F.col("kind")
+
+    def either(cases: dict[str, str | Column]) -> Column:
+        value = F.lit(None)
+        for name, column in cases.items():
+            value = F.when(kind == name, F.expr(column) if isinstance(column, str) else column).otherwise(value)
+        return value
+
+    settings = F.array_sort(F.map_entries(F.from_json("record", "map<string,string>")))
+    pairs = F.array_join(F.transform(settings, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    levels = F.transform("r.parallel_groups", lambda g: F.array_join(g["stages"].cast("array<string>"), ","))
+    span = F.aggregate("r.parallel_groups", F.lit(0).cast("bigint"), lambda total, g: total + g["duration_ms"])
+    total = F.aggregate("r.run_ms", F.lit(0).cast("bigint"), lambda sum_ms, ms: sum_ms + ms)
+    label = {
+        "app": "r.name", "driver_intervals": "r.label", "environment": pairs, "job_timelines": F.array_join(levels, "|"),
+        "stages": "r.name", "host_analysis": "r.host", "top_bottlenecks": "r.type",
+    }
+    n = {
+        "app": "r.duration_ms", "cluster": "r.total_cores", "driver_analysis": "r.driver_time_ms",
+        "driver_intervals": "r.duration_ms", "environment": F.size(settings), "jobs": "r.duration_ms",
+        "job_timelines": F.size("r.parallel_groups"), "stages": "r.task_run_ms_total", "scalability_bounds": "r.lower_ms",
+        "host_analysis": "r.task_count", "top_bottlenecks": "r.stage_id", "task_run_times": F.size("r.run_ms"),
+    }
+    amount = {
+        "app": "r.start_ms", "cluster": "r.executor_count", "driver_analysis": "r.executor_time_ms",
+        "driver_intervals": "r.end_ms", "jobs": F.size("r.stage_ids"), "job_timelines": span,
+        "stages": "r.task_count_accepted", "scalability_bounds": "r.upper_ms", "host_analysis": F.size("r.executor_ids"),
+        "task_run_times": total,
+    }
+    measures = [
+        {"app": "r.driver_idle_pct", "cluster": "r.available_core_hours", "driver_analysis": "r.driver_pct",
+         "stages": "r.skew.skew_avg_ratio", "host_analysis": "r.gc_pct", "top_bottlenecks": "r.metric_value"},
+        {"app": "r.duration_min", "cluster": "r.used_core_hours", "driver_analysis": "r.executor_pct",
+         "stages": "r.one_core_hours.used_pct"},
+        {"cluster": "r.cluster_utilization_pct", "stages": "r.percentages.io_pct"},
+    ]
+    return rows.select(
+        "app_key",
+        "kind",
+        "position",
+        F.coalesce(either(label), F.lit("")).alias("label"),
+        either(n).cast("bigint").alias("n"),
+        either(amount).cast("bigint").alias("amount"),
+        *(scaled(either(m)).alias(f"m{i}_x1000") for i, m in enumerate(measures, 1)),
+    )
+
+
 @query(
     "agg_reduction_size",
     """

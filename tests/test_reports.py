@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.scalars import half_even
 from loomlog.operators import apps, bottlenecks, graph, groups, intervals, rollups, stages
-from loomlog.reports import documents, lines
+from loomlog.reports import documents, lines, metrics
+from loomlog.session import materialize
 
 
 def rows_by(df, *keys):
@@ -394,3 +395,37 @@ def test_homogeneous_executors(spark):
     rows += [("b", str(i), 10, 1.0, 0.2 * i) for i in range(3)] + [("c", "1", 1, 1.0, 0.5)]
     found = rows_by(rollups.executor_homogeneity(spark.createDataFrame(rows, ddl)), "app_key")
     assert [found[k].uniform for k in "abc"] == [True, False, False]
+
+
+def test_metric_report(full):
+    log, table, _, _ = full
+    records = materialize(metrics.metric_records(log, table), "metric-records")
+    chunks = documents.nested_documents(records, size=4, single=metrics.SINGLE).collect()
+    doc = json.loads("".join(r.text for r in sorted(chunks, key=lambda r: r.chunk_no)))
+    kinds = {r.kind for r in metrics.lean_records(records).collect()}
+    assert len(chunks) > 1 and kinds == set(doc) - {"task_run_times"}
+    app, cluster, driver = doc["app"], doc["cluster"], doc["driver_analysis"]
+    assert (app["start_ms"], app["end_ms"], app["duration_ms"], app["duration_min"]) == (5_000, 13_000, 8_000, 0.1)
+    assert (app["spark_version"], app["driver_idle_pct"], doc["environment"]) == ("3.5.4", 12.5, {})
+    assert (cluster["executor_count"], cluster["total_cores"], cluster["memory_mb_per_executor"]) == (3, 12, 8192)
+    # 88,000 ms of cores there, 10,500 used.
+    assert (cluster["available_core_hours"], cluster["used_core_hours"]) == (0.024, 0.003)
+    assert cluster["cluster_utilization_pct"] == 11.932
+    assert (driver["driver_time_ms"], driver["executor_time_ms"], driver["driver_pct"]) == (2_800, 5_200, 35.0)
+    gaps = [(g["label"], g["start_ms"], g["duration_ms"]) for g in doc["driver_intervals"]]
+    assert gaps == [("pre_first_stage", 5_000, 600), ("inter_stage_gap", 8_000, 200), ("post_last_stage", 11_000, 2_000)]
+    assert [(j["job_id"], j["stage_ids"], j["duration_ms"]) for j in doc["jobs"]] == [(7, [3, 4, 5], 7_000)]
+    levels = [(g["stages"], g["duration_ms"]) for g in doc["job_timelines"][0]["parallel_groups"]]
+    assert levels == [([3], 2_400), ([4, 5], 2_800)]
+    load, join, _ = doc["stages"]
+    assert (load["stage_id"], load["task_run_ms_total"], load["skew"]["skew_avg_ratio"]) == (3, 4_900, 1.469)
+    assert (join["memory"]["spill_disk_bytes"], join["time_distribution"]["shuffle_read_fetch_pct"]) == (64, 12.5)
+    assert [(h["host"], h["task_count"], h["executor_ids"]) for h in doc["host_analysis"]] == [
+        ("rack1", 4, ["a1", "a2"]),
+        ("rack2", 2, ["b1"]),
+    ]
+    first = doc["top_bottlenecks"][0]
+    assert (first["rank"], first["type"], first["stage_id"], first["metric_value"]) == (1, "long_stage", 4, 2_800.0)
+    assert len(doc["top_bottlenecks"]) == 5 and len(doc["scalability_bounds"]) == 12
+    times = [(t["stage_id"], t["part"], t["run_ms"]) for t in doc["task_run_times"]]
+    assert times == [(3, 0, [1_000, 1_500, 2_400]), (4, 0, [2_000, 2_800]), (5, 0, [800])]
