@@ -287,9 +287,10 @@ BYTES_TEXT = "case " + " ".join(
     f"select b, {BYTES_TEXT} as text from (select o_orderkey * o_orderkey * o_custkey * (o_orderkey % 7) as b from orders) t",
 )
 def fn_fmt_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    b = key * key * F.col("o_custkey") * (key % 7)
-    return table(spark, sf_dir, "orders").select(b.alias("b"), fn.fmt_bytes(b).alias("text"))
+    """The text of every order's size; ``b`` is NULL where no BIGINT holds the size, its text is not."""
+    key, customer = F.col("o_orderkey").cast("decimal(38,0)"), F.col("o_custkey").cast("decimal(38,0)")
+    b = key * key * customer * (F.col("o_orderkey") % 7).cast("decimal(38,0)")
+    return table(spark, sf_dir, "orders").select(b.try_cast("bigint").alias("b"), fn.fmt_bytes(b).alias("text"))
 
 
 @query(
