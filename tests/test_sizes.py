@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from loomlog.session import materialize
+from loomlog.sources import events
+from loomlog.spread import SALT, SALTS, fits_broadcast, fits_memory, hot_join
 from loomlog.workload import queries_base
 
 
@@ -13,3 +18,39 @@ def test_fmt_bytes_of_large_keys(spark, tmp_path):
     wide = 36_000_001**2 * 890_000 * (36_000_001 % 7)
     assert wide > 2**63
     assert found == {(None, f"{wide / 1024**5:.1f} PB"), (0, "0.0 B"), (54, "54.0 B")}
+
+
+def test_task_numbers_as_text(spark):
+    """Records whose numbers are text, fractions, too long or of another kind give the same facts as before."""
+    def body(stage, run, size='"7"', failed="false"):
+        return (
+            f'{{"Event":"SparkListenerTaskEnd","Stage ID":{stage},"Stage Attempt ID":0,"Task Info":{{"Executor ID":"1",'
+            f'"Host":5,"Launch Time":10,"Finish Time":"30","Failed":{failed}}},"Task Metrics":{{"Executor Run Time":{run},'
+            f'"Executor CPU Time":9,"Result Size":{size}}}}}'
+        )
+
+    lines = [
+        body(1, 20), body('"2"', '"21"', 8), body(3, "22.9"), body(4, 10**30), body(5, '{"a":1}'), body(6, "null", "[1]"),
+        body(7, 5, failed='"x"'), body('"x"', 1), body(-1, 1), body(9, '"abc"'), body(10, "true"), body(11, '1,"Executor Run Time":"z"'),
+    ]
+    rows = spark.createDataFrame([("a", k, line) for k, line in enumerate(lines)], "app_key string, seq long, line string")
+    facts = events.task_facts(events.parse_events(rows)).orderBy("seq").collect()
+    found = [(r.stage_id, r.run_ms, r.cpu_ns, r.result_bytes, r.host, r.finish_ms, r.failed) for r in facts]
+    assert found == [
+        (1, 20, 9, 7, "5", 30, False), (2, 21, 9, 8, "5", 30, False), (3, 0, 9, 7, "5", 30, False), (4, 0, 9, 7, "5", 30, False),
+        (5, 0, 9, 7, "5", 30, False), (6, 0, 9, 0, "5", 30, False), (7, 5, 9, 7, "5", 30, False), (9, 0, 9, 7, "5", 30, False),
+        (10, 0, 9, 7, "5", 30, False), (11, 0, 9, 7, "5", 30, False),
+    ]
+
+
+def test_hot_join_repeats_only_hot_keys(spark):
+    """A dimension whose files are small and rows are many is not broadcast; cold keys have one part."""
+    dim = materialize(spark.range(400_000).selectExpr("id as k", "cast(7 as bigint) as v", "array(1L) as s"))
+    assert fits_broadcast(dim) and not fits_memory(dim)
+    facts = spark.range(5_000).selectExpr("if(id < 4000, 3, if(id < 4100, null, id)) as k", "id as n")
+    joined = hot_join(facts, dim, ["k"], ["n"], keep_salt=True, hot_rows=1000)
+    plain = facts.join(dim, "k", "left").select("k", "n", "v")
+    assert joined.count() == 5_000
+    assert joined.select("k", "n", "v").exceptAll(plain).count() == 0
+    parts = {r.k: r.p for r in joined.groupBy("k").agg(F.countDistinct(SALT).alias("p")).collect()}
+    assert parts.pop(3) == SALTS and parts.pop(None) > 1 and set(parts.values()) == {1}
