@@ -103,6 +103,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
         encoder(vocabulary).rest()
 
     def pack_group(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        encoder.cache_clear()  # all texts are encoded; the worker outlives this job
         group = group.sort_values(["doc_tokens", "doc_id", "rest"], ascending=False, kind="stable")
         ids, totals = group["doc_id"].tolist(), group["doc_tokens"].tolist()
         rests, fulls = group["rest"].tolist(), group["full"].tolist()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.tokens import slices
+from loomlog.llm.tokens import given_back, slices
 
 MIN_WORDS = 50
 REPEAT_WINDOW = 3
@@ -128,7 +128,9 @@ def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text the rules keep."""
 
     @F.arrow_udf("boolean")
-    def kept(texts: pa.Array) -> pa.Array:
-        return pa.array([measure(text.as_py() or "")[-1] for text in texts], pa.bool_())
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in given_back(batches):
+            yield pa.array([measure(text.as_py() or "")[-1] for text in texts], pa.bool_())
+            del texts
 
     return docs.filter(kept(F.col("text")))

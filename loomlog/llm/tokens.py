@@ -54,9 +54,24 @@ def _pack(ids: list[int]) -> bytes:
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that a worker holds few texts at a time."""
-    for batch in batches:
+    for batch in given_back(batches):
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        del batch
+
+
+def given_back(batches: Iterable[pa.RecordBatch | pa.Array]) -> Iterator[pa.RecordBatch | pa.Array]:
+    """The same batches; what Arrow holds of those before goes back to the system.
+
+    Arrow's pool keeps freed memory, and a worker outlives its task, so the largest batches of all
+    its stages would add up beside the JVM.
+    """
+    release = pa.default_memory_pool().release_unused
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+    release()
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

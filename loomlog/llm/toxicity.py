@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.tokens import slices
+from loomlog.llm.tokens import given_back, slices
 from loomlog.session import materialize
 
 SAMPLE = 20_000
@@ -251,6 +251,10 @@ class _Weights(dict):
             self._older, self._bytes = dict(self), 0
             self.clear()
 
+    def rest(self) -> None:
+        """Lets the older generation go, as other stages of the worker need memory, too."""
+        self._older = {}
+
 
 @functools.lru_cache(maxsize=1)
 def _weights_of(model: str) -> _Weights:
@@ -411,7 +415,10 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, that the model does not call toxic."""
 
     @F.arrow_udf("boolean")
-    def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(text.as_py() or "") < 0.5 for text in texts], pa.bool_())
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in given_back(batches):
+            yield pa.array([model.score(text.as_py() or "") < 0.5 for text in texts], pa.bool_())
+            del texts
+        _weights_of(model.name).rest()
 
     return docs.filter(clean(F.col("text")))

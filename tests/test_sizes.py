@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 from pyspark.sql import functions as F
 
 from loomlog.session import materialize
@@ -54,3 +58,26 @@ def test_hot_join_repeats_only_hot_keys(spark):
     assert joined.select("k", "n", "v").exceptAll(plain).count() == 0
     parts = {r.k: r.p for r in joined.groupBy("k").agg(F.countDistinct(SALT).alias("p")).collect()}
     assert parts.pop(3) == SALTS and parts.pop(None) > 1 and set(parts.values()) == {1}
+
+
+def test_worker_gives_memory_of_batches_back():
+    """Run in a process of its own, as a Python worker is; Arrow's pool keeps what is freed."""
+    script = """
+import re, pyarrow as pa
+from loomlog.llm.tokens import slices
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+def batches():
+    for k in range(4):
+        column = pa.array([str(k) * 4000] * 10_000)
+        yield pa.RecordBatch.from_arrays([column], names=["text"])
+        del column
+def run():
+    return sum(len(batch.column("text")[0].as_py()) * batch.num_rows for batch in slices(batches()))
+before = held()
+assert run() == 4 * 10_000 * 4000
+print(held() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=120, check=True, cwd=root)
+    assert int(found.stdout) < 42  # 26 with what was loaded; 58 if the last batch stays
