@@ -1,9 +1,10 @@
-"""Ingestion writes the parts of a log that are asked for, and no others."""
+"""Ingestion writes the parts of a log that are asked for, and no others; ranks read their rows once."""
 
 import os
 
 import pytest
 
+from loomlog.operators import ranks
 from loomlog.workload import views
 
 LINES = [
@@ -43,3 +44,15 @@ def test_text_is_stored_densely(spark, folder):
     views.prepared_log(spark, str(folder)).job_starts
     files = [name for _, _, names in os.walk(folder) for name in names if name.endswith(".parquet")]
     assert any(".zstd.parquet" in name for name in files)
+
+
+def test_ranks_read_their_rows_once(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    values = [(k, v) for k in "ab" for v in range(-200, 200_000, 97)] + [(None, 5), (None, 5), ("c", None)]
+    spark.createDataFrame(values, "k string, v long").write.parquet(path)
+    picks = {"mid": ranks.upper_median}
+    found = ranks.rank_select(spark.read.parquet(path), ["k"], "v", picks)
+    assert not any(path in name for name in found.inputFiles())
+    ordered = [v for k, v in values if k == "a"]
+    got = {r.k: r.mid for r in found.filter("k is not null").collect()}
+    assert got["a"] == got["b"] == ordered[len(ordered) // 2]
