@@ -46,6 +46,15 @@ def test_text_is_stored_densely(spark, folder):
     assert any(".zstd.parquet" in name for name in files)
 
 
+def test_plans_are_spread(spark, folder, monkeypatch):
+    text = '{"Event":"x.SparkListenerSQLExecutionStart","executionId":%d,"description":"d"}'
+    rows = spark.createDataFrame([("a", k, text % k) for k in range(40)], "app_key string, seq long, line string")
+    monkeypatch.setattr(views, "log_lines", lambda log: rows.coalesce(1))
+    log = views.prepared_log(spark, str(folder))
+    assert sorted(r.execution_id for r in log.sql_starts.collect()) == list(range(40))
+    assert len(log.sql_starts.inputFiles()) > 1
+
+
 def test_ranks_read_their_rows_once(spark, tmp_path):
     path = str(tmp_path / "rows")
     values = [(k, v) for k in "ab" for v in range(-200, 200_000, 97)] + [(None, 5), (None, 5), ("c", None)]
