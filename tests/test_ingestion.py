@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 from loomlog.operators import ranks
+from loomlog.sources import events
 from loomlog.workload import views
 
 LINES = [
@@ -65,3 +67,22 @@ def test_ranks_read_their_rows_once(spark, tmp_path):
     ordered = [v for k, v in values if k == "a"]
     got = {r.k: r.mid for r in found.filter("k is not null").collect()}
     assert got["a"] == got["b"] == ordered[len(ordered) // 2]
+
+
+@pytest.mark.parametrize("before", [None, "3"])
+def test_types_are_stored_without_sorting(spark, tmp_path, monkeypatch, before):
+    named = [("a", k, f"type{k % (events.OPEN_TYPES + 9)}", f"body {k}") for k in range(2000)]
+    rows = spark.createDataFrame(named, "app_key string, seq long, event_type string, body string").coalesce(1)
+    write, seen = DataFrameWriter.parquet, []
+    monkeypatch.setattr(
+        DataFrameWriter, "parquet", lambda self, path: seen.append(spark.conf.get(events.WRITERS)) or write(self, path)
+    )
+    if before:
+        spark.conf.set(events.WRITERS, before)
+    try:
+        events.write_bronze(rows, str(tmp_path / "bronze"))
+        assert int(seen[0]) >= 13 and spark.conf.get(events.WRITERS, None) == before
+    finally:
+        spark.conf.unset(events.WRITERS)
+    got = events.read_bronze(spark, str(tmp_path / "bronze")).collect()
+    assert sorted((r.app_key, r.seq, r.event_type, r.body) for r in got) == named
