@@ -1,8 +1,10 @@
 """Ingestion writes the parts of a log that are asked for, and no others; ranks read their rows once."""
 
+import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
 from loomlog.operators import ranks
@@ -86,3 +88,51 @@ def test_types_are_stored_without_sorting(spark, tmp_path, monkeypatch, before):
         spark.conf.unset(events.WRITERS)
     got = events.read_bronze(spark, str(tmp_path / "bronze")).collect()
     assert sorted((r.app_key, r.seq, r.event_type, r.body) for r in got) == named
+
+
+PLANS = [
+    '{"nodeName":"A","simpleString":"s","children":[{"nodeName":"B","metrics":[1,2.5]}]}',
+    '{"nodeName" : "A\\u00e9\\"",\n "children":[]}',
+    '{"nodeName":"A"} tail',
+    '{"nodeName":"A"}{}',
+    '{"nodeName":"A","nodeName":"B"}',
+    '{"nodeName":"A"',
+    '[{"nodeName":"A"}]',
+    '"text"',
+    "",
+    None,
+]
+
+
+def test_plans_stand_in_lines_as_they_are(spark):
+    made = [("a", k, k, "d" if k % 2 else None, plan) for k, plan in enumerate(PLANS)]
+    rows = spark.createDataFrame(made, "app_key string, seq long, id long, description string, plan string")
+    fields = [F.col("id").alias("executionId"), F.col("description")]
+    lines = views._line_with(rows, "E", {"sparkPlanInfo": "plan"}, *fields).orderBy("seq").collect()
+    anew = views._line(rows, "E", *fields, F.try_parse_json("plan").alias("sparkPlanInfo")).orderBy("seq").collect()
+    assert [json.loads(r.line) for r in lines] == [json.loads(r.line) for r in anew]
+    assert f'"sparkPlanInfo":{PLANS[0]}}}' in lines[0].line and not any("\n" in r.line for r in lines)
+
+
+def test_plan_texts_are_made_on_all_cores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(views, "fresh_dir", lambda session, label: str(tmp_path / label))
+    parts = spark.range(1, 200, numPartitions=1).selectExpr(
+        "id as p_partkey", "cast(id % 50 as int) as p_size", "concat('Brand#', id % 5) as p_brand"
+    )
+    parts.write.parquet(str(tmp_path / "in" / "part.parquet"))
+    items = spark.range(1, 50).selectExpr(
+        "id as l_orderkey", "id as l_partkey", "id as l_suppkey", "1 as l_linenumber", "5.0D as l_quantity"
+    )
+    items.write.parquet(str(tmp_path / "in" / "lineitem.parquet"))
+    starts = views.view_log(spark, str(tmp_path / "in")).sql_starts
+    assert "Exchange" not in starts._jdf.queryExecution().executedPlan().toString()
+    assert len(starts.inputFiles()) > 1 and starts.count() == 199
+
+
+def test_stage_events_are_spread(spark, folder, monkeypatch):
+    text = '{"Event":"SparkListenerStageSubmitted","Stage Info":{"Stage ID":%d}}'
+    rows = spark.createDataFrame([("a", k, text % k) for k in range(40)], "app_key string, seq long, line string")
+    monkeypatch.setattr(views, "log_lines", lambda log: rows.coalesce(1))
+    log = views.prepared_log(spark, str(folder))
+    assert sorted(r.stage_id for r in log.stage_events.collect()) == list(range(40))
+    assert len(log.stage_events.inputFiles()) > 1
