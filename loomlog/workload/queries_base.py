@@ -16,7 +16,7 @@ from loomlog.functions.text import head_lines
 from loomlog.operators import apps, attempts, groups, rollups, stages
 from loomlog.session import fresh_dir, materialize
 from loomlog.sources import archives, events, lines, zip_source
-from loomlog.spread import salted_join
+from loomlog.spread import many
 from loomlog.workload.oracle_views import pct, ratio, sc
 from loomlog.workload.registry import query
 from loomlog.workload.views import prepared_lines, prepared_log, table, view, stored_table
@@ -349,7 +349,7 @@ from v_task t left join o_registry r using (app_key, executor_id) group by 1, 2"
 def fn_host_of_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
     folded = log.tasks.groupBy("app_key", "executor_id", "host").agg(F.count(F.lit(1)).alias("c"))
-    named = folded.join(rollups.first_hosts(log.executor_events), ["app_key", "executor_id"], "left")
+    named = folded.join(many(rollups.first_hosts(log.executor_events)), ["app_key", "executor_id"], "left")
     host = fn.host_of_task("host", "executor_host")
     return named.groupBy("app_key", host.alias("host")).agg(F.sum("c").alias("n"))
 
@@ -626,7 +626,7 @@ def join_job_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = prepared_log(spark, sf_dir)
     pairs = apps.job_stages(apps.jobs(log))
     measured = stages.stage_table(log).select(*KEYS, "run_ms", "n_accepted")
-    return pairs.join(measured, KEYS).select("app_key", "job_id", "stage_id", "run_ms", "n_accepted")
+    return pairs.join(many(measured), KEYS).select("app_key", "job_id", "stage_id", "run_ms", "n_accepted")
 
 
 @query("join_stage_parents", "select app_key, job_id, stage_id, parent_id from o_stage_edge")

@@ -48,3 +48,11 @@ def test_values_of_other_keys_are_not_written(spark, tmp_path):
     found = ranks.rank_select(rows, ["k"], "v", {"mid": ranks.upper_median})
     stored = spark.read.parquet(*found.inputFiles())
     assert stored.count() == 20 == found.count()
+
+
+def test_stages_are_not_broadcast(spark):
+    parents = StructType([StructField("app_key", StringType()), StructField("stage_id", LongType()), StructField("parent_ids", ArrayType(LongType()))])
+    stages = spark.createDataFrame([("a", k, [k - 1]) for k in range(1, 200)], parents)
+    pairs = spark.createDataFrame([("a", k // 10, k) for k in range(200)], "app_key string, job_id long, stage_id long")
+    edges = job_edges(materialize(pairs, "pairs"), materialize(stages, "stages"))
+    assert "BroadcastExchange" not in plan_of(edges) and edges.count() == 180
