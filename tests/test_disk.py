@@ -28,6 +28,26 @@ def plan_of(rows):
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_plans_are_shuffled_once(spark, tmp_path):
+    rng = random.Random(3)
+    made = [row for k in range(40) for row in _tree(rng, None if k == 7 else f"a{k % 3}", k)]
+    twice = _tree(rng, "twice", 99)
+    spark.createDataFrame(made + twice + twice, NODE).write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    kept = simplify_plans(nodes)
+    members = codegen_members(kept)
+    for rows in (kept, members):
+        assert plan_of(rows).count("Exchange hashpartitioning") == 1 and "Join" not in plan_of(rows)
+    rows = [r.asDict() for r in kept.collect()]
+    wanted = sorted(
+        (n["app_key"], n["seq"], h["node_id"], n["node_id"], n["node_name"])
+        for h in rows if h["node_name"].startswith("WholeStageCodegen") and h["app_key"]
+        for n in rows if (n["app_key"], n["seq"]) == (h["app_key"], h["seq"]) and h["node_id"] <= n["node_id"] <= h["last_id"]
+    )
+    got = sorted((r.app_key, r.seq, r.codegen_id, r.node_id, r.node_name) for r in members.collect())
+    assert got == wanted and any(r[0] == "twice" for r in got)
+
+
 @pytest.mark.parametrize("salted", [False, True])
 def test_ranks_of_hot_and_other_keys(spark, salted):
     rng = random.Random(5)
