@@ -28,6 +28,44 @@ def plan_of(rows):
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_text_of_tasks_is_stored_once(spark, tmp_path, monkeypatch):
+    made = [("b" if k == 1 else "a", k, text) for k, text in enumerate(LINES)]
+    rows = spark.createDataFrame(made, "app_key string, seq long, line string")
+    monkeypatch.setattr(views, "fresh_dir", lambda session, label: str(tmp_path / label))
+    monkeypatch.setattr(views, "view_log", lambda session, sf_dir: None)
+    monkeypatch.setattr(views, "log_lines", lambda log: rows)
+    log = views.prepared_log(spark, str(tmp_path))
+    assert sorted((r.seq, r.event_type, r.body) for r in log.bronze.collect()) == [
+        (0, S.TASK_END, None), (1, S.TASK_END, None), (2, S.TASK_END, None), (4, S.JOB_START, LINES[4])
+    ]
+    assert sorted((r.seq, r.stage_id) for r in log.tasks.collect()) == [(0, 3), (2, 4)]
+    assert sorted(r.app_key for r in log.apps.collect()) == ["a", "b"]
+    assert [r.job_id for r in log.job_starts.collect()] == [5]
+
+
+NODE = StructType(
+    [StructField("app_key", StringType()), StructField("seq", LongType()), StructField("execution_id", LongType())]
+    + [StructField(c, LongType()) for c in ("node_id", "parent_id", "last_id", "depth", "pos")]
+    + [StructField("node_name", StringType()), StructField("simple_string", StringType()), StructField("n_metrics", LongType())]
+)
+NAMES = ["InputAdapter", "ColumnarToRow", "ColumnarToRow", "WholeStageCodegen (1)", "Project", "SubqueryBroadcast"]
+
+
+def _tree(rng, key, seq):
+    rows = []
+
+    def grow(parent, depth, pos):
+        me = len(rows)
+        row = [key, seq, seq, me, parent, me, depth, pos, rng.choice(NAMES), "s", 0]
+        rows.append(row)
+        for place in range(rng.choice((0, 1, 1, 1, 2)) if depth < 8 else 0):
+            grow(me, depth + 1, place)
+        row[5] = len(rows) - 1
+
+    grow(-1, 0, 0)
+    return [tuple(r) for r in rows]
+
+
 def test_plans_are_shuffled_once(spark, tmp_path):
     rng = random.Random(3)
     made = [row for k in range(40) for row in _tree(rng, None if k == 7 else f"a{k % 3}", k)]
