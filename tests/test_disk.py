@@ -1,5 +1,6 @@
 """What is written, shuffled and broadcast: task text once, plans once, ranks of keys once, no stages to the driver."""
 
+import json
 import random
 
 import pytest
@@ -7,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from loomlog import schema as S
-from loomlog.operators import ranks
+from loomlog.operators import ranks, rollups
 from loomlog.operators.graph import job_edges
 from loomlog.plans.flatten import codegen_members
 from loomlog.plans.simplify import simplify_plans
+from loomlog.reports import metrics
 from loomlog.session import materialize
 from loomlog.spread import SALT, WHOLE, hot_join
 from loomlog.workload import views
@@ -114,3 +116,15 @@ def test_stages_are_not_broadcast(spark):
     pairs = spark.createDataFrame([("a", k // 10, k) for k in range(200)], "app_key string, job_id long, stage_id long")
     edges = job_edges(materialize(pairs, "pairs"), materialize(stages, "stages"))
     assert "BroadcastExchange" not in plan_of(edges) and edges.count() == 180
+
+
+def test_hosts_of_a_report_read_the_tasks_once(spark, monkeypatch):
+    placed = spark.createDataFrame(
+        [("a", "h", str(k), 1, 10, 10, 1, 1, 1, 1, 1) for k in range(3)],
+        "app_key string, host string, executor_id string, tasks long, run_ms long, max_task_ms long, gc_ms long, "
+        "shuffle_read_bytes long, shuffle_write_bytes long, input_bytes long, disk_spill_bytes long",
+    )
+    calls = []
+    monkeypatch.setattr(rollups, "_placed", lambda marked, events: calls.append(1) or placed)
+    [row] = metrics._hosts(None, views.JobLog(*[None] * len(views.JobLog._fields))).collect()
+    assert len(calls) == 1 and json.loads(row.record)["executor_ids"] == ["0", "1", "2"]
